@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import licenses, quality_rules, warc
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -30,6 +32,32 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codec_digests(table(spark, sf_dir, "documents"), "word_bpe_49k.json")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_packing, op5_token_output, op7_bpe)}
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality_rules import judged, ledger
+
+    return judged(ledger(table(spark, sf_dir, "documents")), "v1")
+
+
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .classifier import classified
+
+    return classified(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .licenses import scanned
+
+    return scanned(table(spark, sf_dir, "documents"))
+
+
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import digests, write_archives
+
+    return digests(spark, write_archives(table(spark, sf_dir, "pages")))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f for f in (op1_packing, op2_quality_rules, op3_quality_classifier, op5_token_output, op6_license_scan, op7_bpe, op9_warc)
+}
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op2_quality_rules": quality_rules.oracle("v1"), "op6_license_scan": licenses.oracle(), "op9_warc": warc.ORACLE}
