@@ -56,8 +56,14 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(spark, write_archives(table(spark, sf_dir, "pages")))
 
 
+def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .chosen_path import jaccard_join
+
+    return jaccard_join(table(spark, sf_dir, "documents")).drop("text_hash")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_packing, op2_quality_rules, op3_quality_classifier, op5_token_output, op6_license_scan, op7_bpe, op9_warc)
+    f.__name__: f for f in (op1_packing, op2_quality_rules, op3_quality_classifier, op5_token_output, op6_license_scan, op7_bpe, op9_warc, op10_ngram_jaccard_join)
 }
 
 ORACLES: dict[str, str] = {"op2_quality_rules": quality_rules.oracle("v1"), "op6_license_scan": licenses.oracle(), "op9_warc": warc.ORACLE}

@@ -7,6 +7,7 @@ its tasks and never half a file.
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -35,9 +36,20 @@ def written(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage and fixes the rows."""
     path = new_dir(spark, name)
     df.write.option("compression", "zstd").parquet(path)
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()  # shuffle files that only the written plan needed can go
     return spark.read.schema(df.schema).parquet(path)
 
 
+def dropped(spark: SparkSession, *tables: DataFrame) -> None:
+    """Delete written tables that nothing reads any more."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for df in tables:
+        for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+            path = jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(conf).delete(path, True)
+
+
 def importable(spark: SparkSession) -> None:
     """Let Python workers import this package where driver and workers share the code's folder."""
     env = spark.sparkContext.environment
