@@ -14,7 +14,6 @@ import hashlib
 import heapq
 import json
 import re
-import unicodedata
 from array import array
 
 from pyspark.sql import DataFrame
@@ -22,17 +21,6 @@ from pyspark.sql import functions as F
 
 from . import store, tokens
 
-#: Fixed value: the pattern of byte-level pre-tokenizers that bring none of their own.
-BYTE_LEVEL_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-
-
-def byte_alphabet() -> dict[int, str]:
-    """The printable character that stands for each byte: itself where it is printable, else one from 256 on."""
-    shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
-    hidden = [b for b in range(256) if b not in set(shown)]
-    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
-
-
 def merged(symbols: list[int], rules: dict[tuple[int, int], tuple[int, int]]) -> list[int]:
     """Apply merges, lowest rank first and leftmost among equals, until none fits; ``rules``: pair to (rank, new symbol)."""
     n = len(symbols)
@@ -73,7 +61,7 @@ class Codec:
         self.special = {t["content"]: t["id"] for t in config.get("added_tokens", [])}
         self.strings = {i: s for s, i in vocab.items()} | {i: s for s, i in self.special.items()}
         self.word_end = model.get("end_of_word_suffix") or ""
-        alphabet = byte_alphabet()
+        alphabet = tokens.byte_alphabet()
         self.inner = [vocab.get(alphabet[b], -1) for b in range(256)]
         self.final = [vocab.get(alphabet[b] + self.word_end, -1) for b in range(256)]
         self.rules: dict[tuple[int, int], tuple[int, int]] = {}
@@ -87,7 +75,7 @@ class Codec:
             raise ValueError("unknown normaliser")
         pre = config["pre_tokenizer"]
         split = next((p for p in pre.get("pretokenizers", []) if p["type"] == "Split"), None)
-        self.pattern = regex.compile(split["pattern"]["Regex"] if split else BYTE_LEVEL_PATTERN)
+        self.pattern = regex.compile(split["pattern"]["Regex"] if split else tokens.BYTE_LEVEL_PATTERN)
         #: white space is never part of a piece: words can be kept by themselves
         self.by_word = split is not None
         self.byte_decoder = (config.get("decoder") or {}).get("type") == "ByteLevel"
@@ -96,14 +84,6 @@ class Codec:
         self.pieces: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
 
-    def _normal(self, text: str) -> str:
-        for step in self.steps:
-            if step == "NFC":
-                text = unicodedata.normalize("NFC", text)
-            elif step == "Lowercase":
-                text = text.lower() if text.isascii() else "".join([c.lower() for c in text])
-        return text  # Replace makes white space one space, which no piece of a by-word pattern holds
-
     def _piece(self, piece: str) -> bytes:
         data = piece.encode("utf-8")
         symbols = [self.inner[b] for b in data[:-1]] + [self.final[data[-1]]]
@@ -111,7 +91,7 @@ class Codec:
 
     def _plain(self, text: str) -> bytes:
         out = []
-        for piece in self.pattern.findall(self._normal(text)):
+        for piece in self.pattern.findall(tokens.normal(text, self.steps)):
             ids = self.pieces.get(piece)
             if ids is None:
                 if len(self.pieces) >= tokens.CACHE_CHUNKS:

@@ -311,8 +311,9 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def first_of_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The documents without those whose group has an earlier one: one of each group stays, with all its columns."""
     verdicts = jaccard_join(docs, id_col, text_col, **options)
-    kept = verdicts.where("kept").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_h")).distinct()
+    kept = verdicts.where("kept").groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_h")).agg((F.count("*") > 1).alias("_repeated"))
     kept = store.written(docs.sparkSession, kept, "kept")
     marked = docs.withColumn("_th", F.xxhash64(F.col(text_col).cast("string"))).withColumn("_own", F.col(id_col).cast("long"))
-    rows = marked.join(kept, F.col("_own").eqNullSafe(F.col("_id")) & (F.col("_th") == F.col("_h")), "left_semi")
-    return rows.dropDuplicates(["_own", "_th"]).drop("_th", "_own")
+    rows = marked.join(kept, F.col("_own").eqNullSafe(F.col("_id")) & (F.col("_th") == F.col("_h"))).drop("_id", "_h")
+    once = rows.where("_repeated").dropDuplicates(["_own", "_th"])  # repeated rows only: one of them stays
+    return rows.where("NOT _repeated").union(once).select(*docs.columns)

@@ -168,3 +168,21 @@ def classified(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted."""
     rows = scored(docs, fitted(docs, labels))
     return rows.select("doc_id", (remainder("doc_id") == 2).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+
+
+def kept(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents, with all their columns, that the classifier predicts to be good."""
+    spark = docs.sparkSession
+    shared = spark.sparkContext.broadcast(fitted(docs, labels, id_col, text_col))
+    at = docs.columns.index(text_col)
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        own, w = features(), np.frombuffer(shared.value, dtype=np.float32).astype(np.float64)
+        for batch in batches:
+            good = [1 / (1 + np.exp(-np.clip(w[p] @ v + w[-1], -35, 35))) >= THRESHOLD for p, v in map(own.of, batch.column(at).to_pylist())]
+            yield batch.filter(pa.array(good, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

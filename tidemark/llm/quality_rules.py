@@ -39,7 +39,7 @@ POLICIES = {
 MEASURES = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words"]
 
 
-def _repeat_words(words: str, hashes: str, ordered: str) -> Column:
+def _repeat_words(ordered: str) -> Column:
     """Words inside windows whose hash occurs twice or more; ``ordered``: (hash, place) sorted, null if none repeats."""
     s = F.col(ordered)
     last = F.size(s) - 1
@@ -50,17 +50,22 @@ def _repeat_words(words: str, hashes: str, ordered: str) -> Column:
     return F.when(s.isNull(), F.lit(0)).otherwise(F.aggregate(places, start, step, lambda a: a["n"]))
 
 
-def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and the measurements; each step is a projection of its own so that arrays are built once."""
+def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, the measurements and the columns of ``carry`` as one struct, ``_row``.
+
+    Each step is a projection of its own so that arrays are built once.
+    """
+    kept = [F.struct(*[F.col(c) for c in carry]).alias("_row")] if carry else []
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    own = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"))
+    own = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), *kept)
+    also = ["_row"] if carry else []
     bare = F.col("text")
     for c in WHITE:
         bare = F.replace(bare, F.lit(c), F.lit(""))
     trimmed = F.btrim("text", F.lit(WHITE))
     lines = F.filter(F.split("text", "\n", -1), lambda line: line.rlike(WORD))
     words = own.select(
-        "doc_id",
+        "doc_id", *also,
         F.char_length(bare).cast("long").alias("word_chars"),
         F.regexp_count("text", F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
         lines.alias("lines"),
@@ -69,25 +74,25 @@ def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     n = F.size("words")
     window = F.transform(F.sequence(F.lit(1), n - (WINDOW - 1)), lambda i: F.xxhash64(F.slice("words", i, WINDOW)))
     hashed = words.select(
-        "doc_id", "word_chars", "n_symbols", "lines", n.cast("long").alias("n_words"),
+        "doc_id", *also, "word_chars", "n_symbols", "lines", n.cast("long").alias("n_words"),
         F.when(n >= WINDOW, window).otherwise(F.array().cast("array<bigint>")).alias("hashes"),
     )
     pairs = F.transform("hashes", lambda h, i: F.struct(h.alias("h"), i.alias("i")))
     ordered = hashed.select(
-        "doc_id", "n_words", "word_chars", "n_symbols",
+        "doc_id", *also, "n_words", "word_chars", "n_symbols",
         F.size("lines").cast("long").alias("n_lines"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         F.when(F.size(F.array_distinct("hashes")) < F.size("hashes"), F.sort_array(pairs)).alias("ordered"),
     )
-    return ordered.select("doc_id", "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", _repeat_words("words", "hashes", "ordered").cast("long").alias("n_repeat_words"))
+    return ordered.select("doc_id", *also, "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", _repeat_words("ordered").cast("long").alias("n_repeat_words"))
 
 
-def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, the measurements and fail_bits."""
     bits = F.lit(0)
     for name, condition in RULES:
         bits = bits.bitwiseOR(F.when(F.expr(condition), F.lit(BIT[name])).otherwise(F.lit(0)))
-    return measured(docs, id_col, text_col).withColumn("fail_bits", bits)
+    return measured(docs, id_col, text_col, carry).withColumn("fail_bits", bits)
 
 
 def judged(ledger_rows: DataFrame, policy: str) -> DataFrame:
@@ -97,6 +102,16 @@ def judged(ledger_rows: DataFrame, policy: str) -> DataFrame:
     return ledger_rows.withColumn("base_failed", base).withColumn("kept", ~base & ~failed(POLICIES[policy]))
 
 
+def kept_documents(docs: DataFrame, policy: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents, with all their columns, that the policy keeps.
+
+    The optimiser would put the rules' whole expression in place of a filter's column, many times over; it leaves one
+    that is not deterministic where it is.
+    """
+    verdicts = judged(ledger(docs, id_col, text_col, tuple(docs.columns)), policy)
+    return verdicts.select("_row", (F.col("kept") & (F.monotonically_increasing_id() >= 0)).alias("_keep")).where("_keep").select("_row.*")
+
+
 def ablations(ledger_rows: DataFrame, policy: str) -> DataFrame:
     """For each rule of the policy: documents that fail it, and those that only it rejects (kept without the rule)."""
     spark, mask = ledger_rows.sparkSession, POLICIES[policy]

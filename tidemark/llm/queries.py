@@ -19,6 +19,12 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_crc(pack(table(spark, sf_dir, "documents"), "byte_bpe_50k.json"))
 
 
+def op4_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .nn_descent import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op5_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .sstable import digests, write_shards
 
@@ -50,6 +56,12 @@ def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scanned(table(spark, sf_dir, "documents"))
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffix_dedup import removed
+
+    return removed(table(spark, sf_dir, "documents"))
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .warc import digests, write_archives
 
@@ -62,8 +74,10 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(table(spark, sf_dir, "documents")).drop("text_hash")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_packing, op2_quality_rules, op3_quality_classifier, op5_token_output, op6_license_scan, op7_bpe, op9_warc, op10_ngram_jaccard_join)
-}
+OPERATORS = (
+    op1_packing, op2_quality_rules, op3_quality_classifier, op4_embedding_near_dedup, op5_token_output,
+    op6_license_scan, op7_bpe, op8_suffix_dedup, op9_warc, op10_ngram_jaccard_join,
+)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in OPERATORS}
 
 ORACLES: dict[str, str] = {"op2_quality_rules": quality_rules.oracle("v1"), "op6_license_scan": licenses.oracle(), "op9_warc": warc.ORACLE}

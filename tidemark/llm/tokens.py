@@ -8,9 +8,11 @@ from __future__ import annotations
 
 import os
 import re
+import unicodedata
+from array import array
 
 #: Fixed value: chunks that a worker keeps; beyond it the cache starts anew, so memory stays bounded.
-CACHE_CHUNKS = 600_000
+CACHE_CHUNKS = 300_000
 
 _RUN = re.compile(r"\s\s")
 #: A piece always ends where a run of two or more white spaces begins.
@@ -29,17 +31,56 @@ def resolve(tokenizer: str) -> str:
     return public_tokenizers.path(tokenizer)
 
 
+#: Fixed value: the pattern of byte-level pre-tokenizers that bring none of their own.
+BYTE_LEVEL_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
+def byte_alphabet() -> dict[int, str]:
+    """The printable character that stands for each byte: itself where it is printable, else one from 256 on."""
+    shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    hidden = [b for b in range(256) if b not in set(shown)]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+
+
+def normal(text: str, steps: list[str]) -> str:
+    """The normaliser steps; white space stays as it is, since no piece of a by-word pattern holds any."""
+    for step in steps:
+        if step == "NFC":
+            text = text if text.isascii() else unicodedata.normalize("NFC", text)
+        elif step == "Lowercase":
+            text = text.lower() if text.isascii() else "".join([c.lower() for c in text])
+    return text
+
+
+class Cache(dict):
+    """A dict that makes what it lacks."""
+
+    def __init__(self, make):
+        super().__init__()
+        self.make = make
+
+    def __missing__(self, key):
+        value = self[key] = self.make(key)
+        return value
+
+    def bounded(self):
+        if len(self) >= CACHE_CHUNKS:
+            self.clear()
+        return self.__getitem__
+
+
 class ChunkEncoder:
     """Texts to ids as unsigned 32-bit little-endian bytes.
 
     Chunks: for a byte-level tokenizer with its own pattern, a word with the space before it; for one that drops
-    white space, a word.  Anything else goes to the library whole.
+    white space, a word.  Their pieces go to the library's model; anything else goes to the library whole.
     """
 
     def __init__(self, tokenizer: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import json
 
+        import regex
         from tokenizers import Tokenizer
 
         path = resolve(tokenizer)
@@ -48,68 +89,50 @@ class ChunkEncoder:
         self.library.no_truncation()
         with open(path, encoding="utf-8") as f:
             config = json.load(f)
-        pre = config.get("pre_tokenizer") or {}
-        self.kind = "whole"
-        if config.get("normalizer") is None and pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space"):
-            self.kind = "spaced"
-        elif pre.get("type") == "Sequence" and config["model"].get("end_of_word_suffix"):
+        pre, normalizer = config.get("pre_tokenizer") or {}, config.get("normalizer") or {}
+        self.steps = [n["type"] for n in normalizer.get("normalizers", [normalizer] if normalizer else [])]
+        self.special = [t["content"] for t in config.get("added_tokens", [])]
+        self.kind, pattern = "whole", ""
+        if not self.steps and pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space"):
+            self.kind, pattern = "spaced", BYTE_LEVEL_PATTERN
+        elif pre.get("type") == "Sequence" and config["model"].get("end_of_word_suffix") and not set(self.steps) - {"NFC", "Replace", "Lowercase"}:
             split = next((p for p in pre["pretokenizers"] if p["type"] == "Split"), {})
             # every alternative of the pattern excludes white space, and what it leaves out is removed
             if split.get("behavior") == "Removed" and split.get("invert") and "[^\\s" in split["pattern"].get("Regex", ""):
-                self.kind = "words"
-        self.heads: dict[str, bytes] = {}
-        self.tails: dict[str, bytes] = {}
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        from array import array
-
-        out = []
-        for e in self.library.encode_batch_fast(texts, add_special_tokens=False):
-            ids = array("I", e.ids)
-            out.append(ids.tobytes())
-        return out
-
-    def _fill(self, cache: dict[str, bytes], before: str, chunks) -> None:
-        missing = [c for c in set(chunks) if c not in cache]
-        if not missing:
-            return
-        if len(cache) + len(missing) > CACHE_CHUNKS:
-            cache.clear()
-            missing = list(set(chunks))
-        for i in range(0, len(missing), 10_000):
-            some = missing[i : i + 10_000]
-            cache.update(zip(some, self._ids([before + c for c in some])))
-
-    def _segments(self, text: str) -> list[str]:
-        return _CUT.split(text) if _RUN.search(text) else [text]
+                self.kind, pattern = "words", split["pattern"]["Regex"]
+        self.pattern = regex.compile(pattern)
+        self.model = self.library.model
+        self.letters = {b: c for b, c in byte_alphabet().items() if ord(c) != b}
+        self.pieces, self.heads, self.tails = Cache(self._piece), Cache(self._chunk), Cache(lambda c: self._chunk(" " + c if self.kind == "spaced" else c))
+
+    def _piece(self, piece: str) -> bytes:
+        mapped = piece.encode("utf-8").decode("latin-1").translate(self.letters)
+        return array("I", [t.id for t in self.model.tokenize(mapped)]).tobytes()
+
+    def _whole(self, text: str) -> bytes:
+        return array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def _chunk(self, chunk: str) -> bytes:
+        for s in self.special:
+            if s in chunk:
+                return self._whole(chunk)
+        return b"".join(map(self.pieces.bounded(), self.pattern.findall(normal(chunk, self.steps))))
 
     def encode(self, text: str | None) -> bytes:
         """All ids of one text; null counts as empty."""
         if not text:
             return b""
         if self.kind == "words" and not _ODD.search(text):
-            chunks = text.split()
-            try:
-                return b"".join([self.tails[c] for c in chunks])
-            except KeyError:
-                self._fill(self.tails, "", chunks)
-                return b"".join([self.tails[c] for c in chunks])
+            return b"".join(map(self.tails.bounded(), text.split()))
         if self.kind == "spaced":
-            parts = []
-            for segment in self._segments(text):
+            parts, tail = [], self.tails.bounded()
+            for segment in _CUT.split(text) if _RUN.search(text) else [text]:
                 lead = _LEAD.match(segment).end()
                 head, *chunks = segment[lead:].split(" ")
-                head = segment[:lead] + head
-                if head not in self.heads:
-                    self._fill(self.heads, "", [head])
-                parts.append(self.heads[head])
-                try:
-                    parts += [self.tails[c] for c in chunks]
-                except KeyError:
-                    self._fill(self.tails, " ", chunks)
-                    parts += [self.tails[c] for c in chunks]
+                parts.append(self.heads.bounded()(segment[:lead] + head))
+                parts += map(tail, chunks)
             return b"".join(parts)
-        return self._ids([text])[0]
+        return self._whole(text)
 
 
 _ENCODERS: dict[str, ChunkEncoder] = {}
