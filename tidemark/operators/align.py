@@ -108,7 +108,7 @@ def sweep(rows: DataFrame, scope: list[str] = SCOPE) -> DataFrame:
     """Segments with numbers of active targets and againsts only, by running sums over boundary deltas."""
     t, a = ((F.col("side") == side).cast("int") for side in ("Target", "Against"))
     ends = F.array(F.struct(F.col("range_start").alias("at"), t.alias("dt"), a.alias("da")), F.struct(F.col("range_end").alias("at"), (-t).alias("dt"), (-a).alias("da")))
-    points = rows.where("range_end > range_start").select(*scope, F.inline(ends)).groupBy(*scope, "at").agg(F.sum("dt").alias("dt"), F.sum("da").alias("da"))
+    points = rows.where("range_end IS NOT NULL").select(*scope, F.inline(ends)).groupBy(*scope, "at").agg(F.sum("dt").alias("dt"), F.sum("da").alias("da"))
     own = Window.partitionBy(*scope).orderBy("at")
     out = points.withColumns({"n_target": F.sum("dt").over(own), "n_against": F.sum("da").over(own), "range_end": F.lead("at").over(own)})
     return out.where("range_end IS NOT NULL AND (n_target > 0 OR n_against > 0)").select(*scope, F.col("at").alias("range_start"), "range_end", "n_target", "n_against")
