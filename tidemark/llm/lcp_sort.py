@@ -15,9 +15,6 @@ import struct
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from . import store
 
 RUN_STRINGS, RANGE_BYTES = 60_000, 24 << 20
 _HEAD = struct.Struct("<HH?qqq")  # shared, further length, several in the run, locator (t, lo, n) of one of them
@@ -41,6 +38,10 @@ def entry(shared: int, s: bytes, several: bool, where: tuple) -> bytes:
     return _HEAD.pack(shared, len(s) - shared, several, *where) + s[shared:]
 
 
+def part_of(where: tuple) -> int:
+    return hash(where) & 0x7FFFFFFF
+
+
 class Run:
     """Reads a front-coded run; ``now`` is the current string or None, ``shared`` its prefix in common with the one before."""
 
@@ -106,25 +107,27 @@ def merged(runs: list[Run]) -> Iterator[tuple[bytes, int, bool, tuple]]:
             node //= 2
 
 
-def repeated(strings: DataFrame) -> DataFrame:
-    """Of rows (s binary, t long, lo long, n long): t, lo, n of those whose string occurs, or begins a longer one, elsewhere."""
+def ranges_for(spark, size: int) -> int:
+    """Ranges for ``size`` bytes of strings."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // RANGE_BYTES))
+
+
+def repeated(strings: DataFrame, sample: list[bytes], parts: int) -> DataFrame:
+    """Of rows (s binary, t long, lo long, n long): t, lo, n of those whose string occurs, or begins a longer one, elsewhere.
+
+    ``sample``: some of the strings, or others like them, a few dozen for each of the ``parts`` ranges.
+    """
     spark = strings.sparkSession
-    total, size = strings.agg(F.count("*"), F.sum(F.octet_length("s") + _HEAD.size)).first()
-    if not total:
-        return strings.select("t", "lo", "n")
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // RANGE_BYTES))
-    rate = max(1, total // (parts * 40))
-    sample = sorted(r.s for r in strings.select("s").where(F.pmod(F.xxhash64("s", F.lit(7)), F.lit(rate)) == 0).distinct().limit(parts * 400).collect())  # about 40 strings a range
-    sample = [bytes(s) for s in sample]
-    splitters = [sample[len(sample) * i // parts] for i in range(1, parts)] if sample else []
-    shared = spark.sparkContext.broadcast(splitters)  # one short string for each range
+    cuts = [bytes(x) for x in sorted(sample)]
+    shared = spark.sparkContext.broadcast([cuts[len(cuts) * i // parts] for i in range(1, parts)] if cuts else [])  # one short string for each range
 
     def runs(batches):
         import bisect
 
         import pyarrow as pa
+        import zstandard
 
-        cuts, held = shared.value, []
+        cuts, held, pack = shared.value, [], zstandard.ZstdCompressor(level=3).compress
 
         def flush():
             held.sort()
@@ -148,12 +151,13 @@ def repeated(strings: DataFrame) -> DataFrame:
                         out.append(entry(n, s, several, where))
                         before = s
                     keys.append(part)
-                    blobs.append(b"".join(out))
+                    blobs.append(pack(b"".join(out)))
                 a = b
             m = len(keys)
+            spread = [part_of(w) % parts for w in decided]
             columns = list(zip(*decided)) if decided else ([], [], [])
             return pa.RecordBatch.from_arrays(
-                [pa.array(keys + [None] * len(decided), pa.int32()), pa.array(blobs + [None] * len(decided), pa.binary()), *[pa.array([None] * m + list(c), pa.int64()) for c in columns]],
+                [pa.array(keys + spread, pa.int32()), pa.array(blobs + [None] * len(decided), pa.binary()), *[pa.array([None] * m + list(c), pa.int64()) for c in columns]],
                 names=["part", "blob", "t", "lo", "n"],
             )
 
@@ -166,11 +170,16 @@ def repeated(strings: DataFrame) -> DataFrame:
 
     def merge(batches):
         import pyarrow as pa
+        import zstandard
 
+        unpack = zstandard.ZstdDecompressor().decompress
         by_part: dict[int, list[Run]] = {}
         for batch in batches:
+            told = batch.column(1).is_null()  # decided inside a run
+            yield pa.RecordBatch.from_arrays(batch.columns[2:], names=["t", "lo", "n"]).filter(told)
             for part, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                by_part.setdefault(part, []).append(Run(blob))
+                if blob is not None:
+                    by_part.setdefault(part, []).append(Run(unpack(blob)))
         for part in sorted(by_part):
             out, last, last_where, told = [], b"", None, False
             for s, n, several, where in merged(by_part.pop(part)):
@@ -185,6 +194,5 @@ def repeated(strings: DataFrame) -> DataFrame:
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=["t", "lo", "n"])
 
-    sent = store.written(spark, strings.select("s", "t", "lo", "n").mapInArrow(runs, "part int, blob binary, t long, lo long, n long"), "runs")
-    found = sent.where("part IS NOT NULL").select("part", "blob").repartition(parts, "part").mapInArrow(merge, "t long, lo long, n long")
-    return found.union(sent.where("part IS NULL").select("t", "lo", "n"))
+    sent = strings.select("s", "t", "lo", "n").mapInArrow(runs, "part int, blob binary, t long, lo long, n long")
+    return sent.repartition(parts, "part").mapInArrow(merge, "t long, lo long, n long")

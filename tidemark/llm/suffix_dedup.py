@@ -183,7 +183,7 @@ def repeats(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     lists = store.written(spark, lists, "lists")
     store.dropped(spark, anchors, flagged)
     rows = store.written(spark, single.select("t", "data").join(lists, "t").select("t", "data", "units").mapInArrow(_unit_bytes, "x long, t long, lo long, n long, whole boolean, each boolean, u binary"), "rows")
-    store.dropped(spark, lists)
+    store.dropped(spark, lists, single)
 
     windows = store.written(spark, rows.where("each").select("x", "n", "u").mapInArrow(_window_hashes, "wf long, at long"), "windows")
     twice = store.written(spark, windows.groupBy("wf").agg(F.count("*").alias("c")).where("c > 1").select(F.col("wf").alias("twice")), "twice")
@@ -192,11 +192,18 @@ def repeats(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     store.dropped(spark, windows, twice)
     each = rows.where("each").join(places, F.col("x") == F.col("at_x")).select("t", "lo", "n", "u", "places")
     whole = rows.where("whole").select("t", "lo", "n", "u", F.lit(None).cast("array<int>").alias("places"))
-    strings = store.written(spark, whole.union(each).mapInArrow(_strings, "s binary, t long, lo long, n long"), "strings")
-    store.dropped(spark, rows, places)
-    spans = lcp_sort.repeated(strings).groupBy("t").agg(F.collect_list(F.struct("lo", "n")).alias("spans"))
+    n_whole, size_whole = rows.where("whole").agg(F.count("*"), F.coalesce(F.sum(F.octet_length("u")), F.lit(0))).first()
+    n_each = places.agg(F.coalesce(F.sum(F.size("places")), F.lit(0))).first()[0]
+    parts = lcp_sort.ranges_for(spark, size_whole + n_each * LENGTH)
+    rate = max(1, (n_whole + n_each) // (parts * 40))
+    some = rows.where("whole OR each").where(F.pmod(F.xxhash64("x"), F.lit(max(1, rate // 8))) == 0)
+    some = some.select(F.expr(f"CASE WHEN whole THEN u ELSE substring(u, cast(pmod(xxhash64(x, 1), n) + 1 AS int), {LENGTH}) END AS s"))
+    sample = [r.s for r in some.limit(parts * 400).collect()]  # short strings, a number of them for each range
+    spans = lcp_sort.repeated(whole.union(each).mapInArrow(_strings, "s binary, t long, lo long, n long"), sample, parts).groupBy("t").agg(F.collect_list(F.struct("lo", "n")).alias("spans"))
     out = classes.select("t", "sha", (F.col("copies") > 1).alias("whole")).join(spans, "t", "left").where("whole OR spans IS NOT NULL").select("sha", "whole", "spans")
-    return store.written(spark, out, "repeats")
+    out = store.written(spark, out, "repeats")
+    store.dropped(spark, rows, places)
+    return out
 
 
 def _anchors(single: DataFrame) -> DataFrame:
