@@ -36,6 +36,8 @@ from .components import components
 LIMIT, DEPTH, BLOCK = 200, 5, 128
 #: Agreeing minima of 64 that make a candidate (at similarity 0.8: 51.2 expected, 3.2 the deviation), and that retire a set.
 CANDIDATE, RETIRE = 36, 58
+#: Classes in candidate groups up to which the list of them is broadcast to where the texts lie; beyond, texts are shuffled.
+MOST_BROADCAST = 500_000
 
 
 def survival(similarity: float, depth: int) -> float:
@@ -124,13 +126,16 @@ def _link_buckets(batches):
     for rows in groups_of(batches, 0):
         if len(rows) < 2:
             continue
+        rows.sort(key=lambda r: r[1])  # a tree's root is its smallest class, in every bucket and run
         sig = np.frombuffer(b"".join([r[2] for r in rows]), dtype=np.uint32).reshape(len(rows), -1)
-        left, right = [], []
+        root = np.arange(len(rows))
         for i in range(1, len(rows)):
-            near = np.flatnonzero((sig[:i] == sig[i]).sum(axis=1) >= CANDIDATE)
-            left += [i] * len(near)
-            right += near.tolist()
-        for i, r in enumerate(forest(len(rows), left, right)):
+            trees = np.unique(root[:i][(sig[:i] == sig[i]).sum(axis=1) >= CANDIDATE])
+            if len(trees):
+                root[i] = trees[0]
+            if len(trees) > 1:
+                root[:i][np.isin(root[:i], trees)] = trees[0]
+        for i, r in enumerate(root.tolist()):
             if r != i:
                 us.append(rows[i][1])
                 vs.append(rows[r][1])
@@ -208,7 +213,7 @@ def candidate_edges(classes: DataFrame, runs: int) -> DataFrame:
             own = large.withColumn("i", F.pmod(F.xxhash64("c", "path"), blocks)).withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
             near.append(linked(own.select(F.xxhash64("path", F.least("i", "j"), F.greatest("i", "j")).alias("path"), "c", "sig")))
             break
-        leaders = large.groupBy("path").agg(F.min_by(F.struct("c", "sig"), F.xxhash64("c", "path")).alias("l"))
+        leaders = large.groupBy("path").agg(F.min_by(F.struct("c", "sig"), F.xxhash64("c")).alias("l"))
         leaders = store.written(spark, leaders.select("path", F.col("l.c").alias("leader"), F.col("l.sig").alias("lead_sig")), "leaders")
         seen = large.join(leaders, "path").select("path", "c", "sig", "leader", "lead_sig").mapInArrow(_compare, "path long, c long, sig binary, leader long, agree int")
         seen = store.written(spark, seen, "compared")
@@ -229,6 +234,7 @@ def _exact(threshold: tuple[int, int]):
         import pyarrow as pa
 
         for rows in groups_of(batches, 0):
+            rows.sort(key=lambda r: r[2])
             sets = [np.frombuffer(r[4], dtype=np.uint64) for r in rows]
             n, m = np.array([len(s) for s in sets]), len(rows)
             values, column, df = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
@@ -286,7 +292,8 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     text = F.col(text_col).cast("string")
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("h"), text.alias("text"))
-    found = members.join(texts, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("th") == F.col("h"))).select("c", "component", "blocks", "copies", "fp", "text")
+    listed = F.broadcast(members) if members.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST else members
+    found = listed.join(texts, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("th") == F.col("h"))).select("c", "component", "blocks", "copies", "fp", "text")
     sets = found.mapInArrow(whole_sets, "c long, component long, blocks long, copies long, set binary")
     sets = sets.withColumn("side", F.pmod(F.xxhash64("c"), "blocks")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     keyed = sets.select(F.struct("component", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j")).alias("k"), "side", "c", "copies", "set")
