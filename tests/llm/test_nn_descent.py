@@ -68,3 +68,24 @@ def test_null_identifiers_and_nothing(spark):
     got, _ = nn_descent.search(spark.createDataFrame(rows, SCHEMA))
     assert sorted((r.vec_id or 0, r.n_links, r.component_id, r.kept) for r in got.collect()) == [(0, 2, 5, False), (0, 2, 5, False), (5, 2, 5, True)]
     assert nn_descent.near_duplicates(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def bundles(sizes, seed=5):
+    """Bundles of cosine about 0.998 inside and 0.981 across, in 32 dimensions."""
+    rng = np.random.default_rng(seed)
+    axes = np.linalg.qr(rng.standard_normal((32, 32)))[0]
+    centers, out = [axes[0], axes[0] * 0.983 + axes[1] * math.sqrt(1 - 0.983**2)], []
+    for center, k in zip(centers, sizes):
+        for _ in range(k):
+            noise = rng.standard_normal(30) @ axes[2:]
+            out.append(center + noise / np.linalg.norm(noise) * 0.0316)
+    return out
+
+
+def test_links_between_saturated_groups(spark):
+    vectors = bundles((30, 30)) + list(np.random.default_rng(6).standard_normal((40, 32)))
+    rows = [(i, [float(x) for x in np.float32(v)], 0, 1, "") for i, v in enumerate(vectors)]
+    expected = brute(rows)
+    assert [r[1] for r in expected[:60]] == [59] * 60
+    got, _ = nn_descent.search(spark.createDataFrame(rows, SCHEMA))
+    assert sorted(tuple(r) for r in got.collect()) == expected

@@ -2,9 +2,11 @@
 
 Vectors of one label, brought to unit length, get neighbour lists.  The lists start from random-hyperplane trees and are
 refined: each vector hands its neighbours, and those that have it as a neighbour, to each other; the ``K`` best of
-each list stay.  The edges at the threshold stay and join vectors into groups.  A list whose entries are all at the threshold is
-saturated, more may follow: the lists of each group are enlarged to the whole group, which is compared in pairs of
+each list stay.  The edges at the threshold stay and join vectors into groups, each of which is compared in full in pairs of
 blocks inside tasks; what leaves a task is each vector's number of links and a spanning forest, never all pairs.
+A list whose entries are all at the threshold is saturated, more may follow, also outside its group: groups with such
+a list are covered by balls, and every vector of the space that the triangle inequality lets link with a ball is
+compared with all its members.
 Recall is audited against brute force: up to ``AUDIT_MOST`` of the vectors whose identifier is divisible by ``AUDIT`` are
 compared with all rows in blocks, and while the links found are too few, the search starts again with more trees.
 
@@ -30,6 +32,8 @@ K, TREES, LEAF, ROUNDS, BLOCK = 12, 8, 48, 3, 512
 AUDIT, AUDIT_MOST, RECALL, ATTEMPTS = 50, 2_000, 0.999, 3
 #: The search's threshold is lower by this much, for its 32-bit floats.
 SLACK = 1e-4
+#: Bytes of vectors that are broadcast at once.
+CHUNK = 1 << 24
 
 
 def _unit(vector):
@@ -192,6 +196,90 @@ def _linked(threshold: float):
     return run
 
 
+def _balls(threshold: float):
+    """Balls that cover the groups (key, c, v; sorted by key): c, ball (its centre's c), radius (an angle)."""
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for rows in groups_of(batches, 0):
+            c = np.array([r[1] for r in rows], dtype=np.int64)
+            v = np.frombuffer(b"".join([r[2] for r in rows]), dtype=np.float64).reshape(len(rows), -1)
+            ball, radius, left = np.empty_like(c), np.empty(len(c)), np.arange(len(c))
+            while len(left):
+                sim = v[left] @ v[left[0]]
+                near = sim >= threshold
+                near[0] = True
+                ball[left[near]] = c[left[0]]
+                radius[left[near]] = np.arccos(np.clip(sim[near].min(), -1, 1)) + 1e-6
+                left = left[~near]
+            yield pa.RecordBatch.from_arrays([pa.array(c), pa.array(ball), pa.array(radius)], names=["c", "ball", "radius"])
+
+    return run
+
+
+def _chunks(table: DataFrame):
+    """The rows of ``table`` (with c and v), on the driver, about CHUNK bytes of vectors at a time."""
+    parts = -(-(table.agg(F.sum(F.octet_length("v"))).first()[0] or 0) // CHUNK)
+    for i in range(parts):
+        yield table.where(F.pmod(F.xxhash64("c", F.lit(2)), F.lit(parts)) == i).collect()
+
+
+def _across(placed: DataFrame, threshold: float) -> DataFrame | None:
+    """Links between each full group and all other vectors (placed: c, space, copies, v, component, full): c, links, root."""
+    spark = placed.sparkSession
+    own = placed.where("full").select("component", "c", "v")
+    blocks = own.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    keyed = own.join(blocks, "component").select(F.concat_ws(":", "component", F.pmod(F.xxhash64("c"), "blocks")).alias("key"), "c", "v")
+    balls = store.written(spark, keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_balls(threshold), "c long, ball long, radius double"), "balls")
+    centres = store.written(spark, balls.where("c = ball").join(placed, "c").select("c", "space", "component", "radius", "v"), "centres")
+    pairs = []
+    for chunk in _chunks(centres):
+        spaces: dict[str, list] = {}
+        for r in chunk:
+            spaces.setdefault(r.space, []).append((r.c, r.component, r.radius, bytes(r.v)))
+        shared = spark.sparkContext.broadcast(spaces)
+
+        def run(batches, shared=shared):
+            import numpy as np
+            import pyarrow as pa
+
+            known: dict[str, tuple] = {}
+            for batch in batches:
+                by_space: dict[str, list] = {}
+                for row in zip(*(x.to_pylist() for x in batch.columns)):
+                    if row[0] in shared.value:
+                        by_space.setdefault(row[0], []).append(row)
+                for space, rows in by_space.items():
+                    if space not in known:
+                        ball, group, radius, v = zip(*shared.value[space])
+                        bound = np.cos(np.minimum(np.array(radius) + np.arccos(threshold), np.pi)) - 1e-9
+                        known[space] = np.array(ball), np.array(group), bound, np.frombuffer(b"".join(v), dtype=np.float64).reshape(len(v), -1)
+                    ball, group, bound, centre = known[space]
+                    for a in range(0, len(rows), 256):
+                        _, c, component, full, v = zip(*rows[a : a + 256])
+                        x = np.frombuffer(b"".join(v), dtype=np.float64).reshape(len(v), -1)
+                        component, full = np.array(component)[:, None], np.array(full)[:, None]
+                        # of two full groups the one with the smaller number asks
+                        i, j = np.nonzero((x @ centre.T >= bound) & (component != group) & ~(full & (component < group)))
+                        yield pa.RecordBatch.from_arrays([pa.array(ball[j]), pa.array(np.array(c)[i])], names=["ball", "c"])
+
+        found = placed.select("space", "c", "component", "full", "v").mapInArrow(run, "ball long, c long")
+        pairs.append(store.written(spark, found, "near-balls"))
+    if not pairs:
+        return None
+    found = pairs[0]
+    for more in pairs[1:]:
+        found = found.union(more)
+    blocks = found.groupBy("ball").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    asked = store.written(spark, found.join(blocks, "ball").select("ball", "c", F.pmod(F.xxhash64("c"), "blocks").alias("block")), "asked")
+    members = balls.select("ball", "c").join(asked.select("ball", "block").distinct(), "ball").withColumn("side", F.lit(0).cast("long"))
+    both = members.union(asked.select("ball", "c", "block", F.lit(1).cast("long").alias("side")).select("ball", "c", "block", "side"))
+    keyed = both.join(placed.select("c", "copies", "v"), "c").select(F.concat_ws(":", "ball", "block").alias("key"), "side", "c", "copies", "v")
+    return store.written(spark, keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_linked(threshold), "c long, links long, root long"), "across")
+
+
 def _audit(nodes: DataFrame, links: DataFrame, rows: DataFrame, threshold: float) -> float:
     """Links found of those that brute force finds for the audit's vectors, as a fraction."""
     spark = nodes.sparkSession
@@ -243,6 +331,12 @@ def search(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedd
         own = own.withColumn("side", F.pmod(F.xxhash64("c"), "blocks")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
         keyed = own.select(F.concat_ws(":", "component", F.least("side", "other"), F.greatest("side", "other")).alias("key"), "side", "c", "copies", "v")
         exact = store.written(spark, keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_linked(threshold), "c long, links long, root long"), "links")
+        saturated = lists.where(F.col("sim") >= threshold - SLACK).groupBy("a").agg(F.count("*").alias("n")).where(F.col("n") >= K)
+        full = near.join(saturated, F.col("node") == F.col("a")).select(F.col("component").alias("g"), F.lit(True).alias("full")).distinct()
+        placed = nodes.join(near, F.col("node") == F.col("c"), "left").withColumn("component", F.coalesce("component", "c")).join(full, F.col("g") == F.col("component"), "left")
+        placed = store.written(spark, placed.select("c", "space", "copies", "v", "component", F.coalesce("full", F.lit(False)).alias("full")), "placed")
+        within, across = exact, _across(placed, threshold)
+        exact = within if across is None else within.union(across)
         links = exact.groupBy("c").agg(F.sum("links").alias("links"))
         recall = _audit(nodes, links, rows, threshold)
         if recall >= RECALL:
