@@ -89,3 +89,15 @@ def test_links_between_saturated_groups(spark):
     assert [r[1] for r in expected[:60]] == [59] * 60
     got, _ = nn_descent.search(spark.createDataFrame(rows, SCHEMA))
     assert sorted(tuple(r) for r in got.collect()) == expected
+
+
+def test_spaces_that_fall_short_are_compared_in_full(spark, monkeypatch):
+    planted = nn_descent._planted
+    monkeypatch.setattr(nn_descent, "_planted", lambda nodes, trees: planted(nodes, 1).where("false"))
+    for name, value in (("ROUNDS", 0), ("ATTEMPTS", 1), ("AUDIT", 1)):
+        monkeypatch.setattr(nn_descent, name, value)
+    vectors = bundles((20, 3)) + list(np.random.default_rng(6).standard_normal((20, 32)))
+    rows = [(i, [float(x) for x in np.float32(v)], i % 2, 1, "") for i, v in enumerate(vectors)]
+    got, recall = nn_descent.search(spark.createDataFrame(rows, SCHEMA))
+    assert sorted(tuple(r) for r in got.collect()) == brute(rows)
+    assert recall == 1.0

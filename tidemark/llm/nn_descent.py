@@ -8,7 +8,8 @@ A list whose entries are all at the threshold is saturated, more may follow, als
 a list are covered by balls, and every vector of the space that the triangle inequality lets link with a ball is
 compared with all its members.
 Recall is audited against brute force: up to ``AUDIT_MOST`` of the vectors whose identifier is divisible by ``AUDIT`` are
-compared with all rows in blocks, and while the links found are too few, the search starts again with more trees.
+compared with all rows in blocks, and while the links found in a space are too few, the search starts again with more
+trees.  Spaces that still fall short after ``ATTEMPTS`` searches are compared in full, exactly.
 
 Equal vectors of a label are one node with a count, so copies cost nothing.  The search uses 32-bit floats; links are
 decided by cosine in double precision.
@@ -280,23 +281,25 @@ def _across(placed: DataFrame, threshold: float) -> DataFrame | None:
     return store.written(spark, keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_linked(threshold), "c long, links long, root long"), "across")
 
 
-def _audit(nodes: DataFrame, links: DataFrame, rows: DataFrame, threshold: float) -> float:
-    """Links found of those that brute force finds for the audit's vectors, as a fraction."""
+def _audit(nodes: DataFrame, links: DataFrame, rows: DataFrame, threshold: float) -> dict[str, float]:
+    """By space: links found of those that brute force finds for the audit's vectors, as a fraction."""
     spark = nodes.sparkSession
     asked = rows.where(F.col("fp").isNotNull() & (F.col("vec_id") % AUDIT == 0)).select("fp").distinct().join(nodes, "fp").select("c", "space", "v", "copies")
     asked = asked.orderBy(F.xxhash64("c", F.lit(1)), "c").limit(AUDIT_MOST).join(links, "c", "left").collect()  # at most AUDIT_MOST vectors
     if not asked:
-        return 1.0
+        return {}
     spaces: dict[str, list] = {}
+    found: dict[str, int] = {}
     for r in asked:
         spaces.setdefault(r.space, []).append((bytes(r.v), r.copies))
+        found[r.space] = found.get(r.space, 0) + (r.links or 0) + r.copies  # each vector finds itself
     shared = spark.sparkContext.broadcast(spaces)
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
-        total = 0
+        total: dict[str, int] = {}
         for batch in batches:
             by_space: dict[str, list] = {}
             for space, v, copies in zip(*(c.to_pylist() for c in batch.columns)):
@@ -305,23 +308,23 @@ def _audit(nodes: DataFrame, links: DataFrame, rows: DataFrame, threshold: float
             for space, own in by_space.items():
                 q, x = (np.frombuffer(b"".join([r[0] for r in some]), dtype=np.float64).reshape(len(some), -1) for some in (shared.value[space], own))
                 for i in range(0, len(x), 1024):
-                    total += int(((q @ x[i : i + 1024].T >= threshold) @ np.array([r[1] for r in own[i : i + 1024]])).sum())
-        yield pa.RecordBatch.from_arrays([pa.array([total], pa.int64())], names=["n"])
+                    # a cosine at the threshold may fall to either side, by the order of the sum
+                    total[space] = total.get(space, 0) + int(((q @ x[i : i + 1024].T >= threshold + 1e-12) @ np.array([r[1] for r in own[i : i + 1024]])).sum())
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], names=["space", "n"])
 
-    true = nodes.select("space", "v", "copies").mapInArrow(run, "n long").agg(F.sum("n")).first()[0]
-    found = sum((r.links or 0) + r.copies for r in asked)  # each vector finds itself
-    return found / true if true else 1.0
+    true = nodes.select("space", "v", "copies").mapInArrow(run, "space string, n long").groupBy("space").agg(F.sum("n").alias("n")).collect()  # of the audit's spaces
+    return {r.space: min(1.0, found[r.space] / r.n) for r in true if r.n}
 
 
 def search(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", threshold: float = 0.98) -> tuple[DataFrame, float]:
-    """vec_id, n_links, component_id, kept of every vector; and the audit's recall."""
+    """vec_id, n_links, component_id, kept of every vector; and the audit's recall (the least of any space)."""
     spark = vectors.sparkSession
     store.importable(spark)
     rows = store.written(spark, rows_of(vectors, id_col, vector_col, label_col), "vectors")
     nodes = rows.where("fp IS NOT NULL").groupBy("fp").agg(F.any_value("space").alias("space"), F.any_value("v").alias("v"), F.count("*").alias("copies"), F.min("vec_id").alias("least"))
     nodes = store.written(spark, nodes.withColumn("c", F.monotonically_increasing_id()), "nodes")
     trees = TREES
-    for _ in range(ATTEMPTS):
+    for attempt in range(ATTEMPTS):
         lists = store.written(spark, _planted(nodes, trees), "lists")
         for _ in range(ROUNDS):
             lists = store.written(spark, _refined(nodes, lists), "lists")
@@ -339,9 +342,19 @@ def search(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedd
         exact = within if across is None else within.union(across)
         links = exact.groupBy("c").agg(F.sum("links").alias("links"))
         recall = _audit(nodes, links, rows, threshold)
-        if recall >= RECALL:
+        short = [space for space, found in recall.items() if found < RECALL]
+        if not short:
             break
         trees *= 2
+        if attempt == ATTEMPTS - 1:  # these spaces are compared in full
+            falls = store.written(spark, spark.createDataFrame([(space,) for space in short], "short string"), "short")
+            placed = placed.join(falls, F.col("space") == F.col("short"), "left").withColumn("full", F.col("full") | F.col("short").isNotNull())
+            across = _across(store.written(spark, placed.drop("short"), "placed"), threshold)
+            exact = within.union(across)
+            links = exact.groupBy("c").agg(F.sum("links").alias("links"))
+            recall = _audit(nodes, links, rows, threshold)
+            if min(recall.values()) < RECALL:
+                raise RuntimeError(f"the audit found a recall of {min(recall.values())} after exact comparison")
     linked = components(exact.select("c", "root")).withColumnRenamed("node", "c")
     named = nodes.select("c", "fp", "copies", "least").join(links, "c", "left").join(linked, "c", "left").withColumn("component", F.coalesce("component", "c"))
     named = store.written(spark, named, "named")
@@ -349,7 +362,7 @@ def search(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedd
     named = store.written(spark, named.join(least, "component").select("fp", "component_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "named")
     out = rows.select("vec_id", "fp").join(named, "fp", "left")
     component = F.when(F.col("fp").isNull(), F.col("vec_id")).otherwise(F.col("component_id"))
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.col("vec_id").eqNullSafe(component).alias("kept")), recall
+    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.col("vec_id").eqNullSafe(component).alias("kept")), min(recall.values(), default=1.0)
 
 
 def near_duplicates(vectors: DataFrame, **options) -> DataFrame:
