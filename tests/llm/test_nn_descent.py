@@ -101,3 +101,15 @@ def test_spaces_that_fall_short_are_compared_in_full(spark, monkeypatch):
     got, recall = nn_descent.search(spark.createDataFrame(rows, SCHEMA))
     assert sorted(tuple(r) for r in got.collect()) == brute(rows)
     assert recall == 1.0
+
+
+def test_audit_is_not_diluted_by_copies(spark, monkeypatch):
+    planted = nn_descent._planted
+    monkeypatch.setattr(nn_descent, "_planted", lambda nodes, trees: planted(nodes, 1).where("false"))
+    monkeypatch.setattr(nn_descent, "ROUNDS", 0)
+    monkeypatch.setattr(nn_descent, "ATTEMPTS", 1)
+    vectors = [[1.0, 0.0, 0.0, 0.0], [1.0, 0.01, 0.0, 0.0]]
+    rows = [(50 * i, v, 0, 1, "") for i, v in enumerate(vectors)] + [(i + 1000, [0.0, 0.0, 1.0, 0.0], 0, 1, "") for i in range(3000)]
+    got, recall = nn_descent.search(spark.createDataFrame(rows, SCHEMA))
+    assert sorted((r.vec_id, r.n_links, r.component_id) for r in got.collect() if r.vec_id < 100) == [(0, 1, 0), (50, 1, 0)]
+    assert recall == 1.0

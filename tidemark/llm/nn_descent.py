@@ -7,8 +7,8 @@ blocks inside tasks; what leaves a task is each vector's number of links and a s
 A list whose entries are all at the threshold is saturated, more may follow, also outside its group: groups with such
 a list are covered by balls, and every vector of the space that the triangle inequality lets link with a ball is
 compared with all its members.
-Recall is audited against brute force: up to ``AUDIT_MOST`` of the vectors whose identifier is divisible by ``AUDIT`` are
-compared with all rows in blocks, and while the links found in a space are too few, the search starts again with more
+Recall is audited against brute force: the vectors whose identifier is divisible by ``AUDIT`` are compared with all rows
+in blocks.  Recall is the mean over those that have links to other vectors than their copies, by space, and while it is too low, the search starts again with more
 trees.  Spaces that still fall short after ``ATTEMPTS`` searches are compared in full, exactly.
 
 Equal vectors of a label are one node with a count, so copies cost nothing.  The search uses 32-bit floats; links are
@@ -30,7 +30,7 @@ from .components import components
 
 #: List length, trees of the first search, leaf size, rounds, block of a group, audit and recall asked for.
 K, TREES, LEAF, ROUNDS, BLOCK = 12, 8, 48, 3, 512
-AUDIT, AUDIT_MOST, RECALL, ATTEMPTS = 50, 2_000, 0.999, 3
+AUDIT, RECALL, ATTEMPTS = 50, 0.999, 3
 #: The search's threshold is lower by this much, for its 32-bit floats.
 SLACK = 1e-4
 #: Bytes of vectors that are broadcast at once.
@@ -282,38 +282,48 @@ def _across(placed: DataFrame, threshold: float) -> DataFrame | None:
 
 
 def _audit(nodes: DataFrame, links: DataFrame, rows: DataFrame, threshold: float) -> dict[str, float]:
-    """By space: links found of those that brute force finds for the audit's vectors, as a fraction."""
+    """By space: the part that was found of the links to other vectors, as a mean over the audit's vectors that have any."""
     spark = nodes.sparkSession
-    asked = rows.where(F.col("fp").isNotNull() & (F.col("vec_id") % AUDIT == 0)).select("fp").distinct().join(nodes, "fp").select("c", "space", "v", "copies")
-    asked = asked.orderBy(F.xxhash64("c", F.lit(1)), "c").limit(AUDIT_MOST).join(links, "c", "left").collect()  # at most AUDIT_MOST vectors
-    if not asked:
-        return {}
-    spaces: dict[str, list] = {}
-    found: dict[str, int] = {}
-    for r in asked:
-        spaces.setdefault(r.space, []).append((bytes(r.v), r.copies))
-        found[r.space] = found.get(r.space, 0) + (r.links or 0) + r.copies  # each vector finds itself
-    shared = spark.sparkContext.broadcast(spaces)
+    asked = rows.where(F.col("fp").isNotNull() & (F.col("vec_id") % AUDIT == 0)).select("fp").distinct().join(nodes, "fp").select("c", "space", "v")
+    asked = store.written(spark, asked.join(links, "c", "left").withColumn("links", F.coalesce("links", F.lit(0))), "audited")
+    true = []
+    for chunk in _chunks(asked):
+        spaces: dict[str, list] = {}
+        for r in chunk:
+            spaces.setdefault(r.space, []).append((r.c, bytes(r.v)))
+        shared = spark.sparkContext.broadcast(spaces)
 
-    def run(batches):
-        import numpy as np
-        import pyarrow as pa
+        def run(batches, shared=shared):
+            import numpy as np
+            import pyarrow as pa
 
-        total: dict[str, int] = {}
-        for batch in batches:
-            by_space: dict[str, list] = {}
-            for space, v, copies in zip(*(c.to_pylist() for c in batch.columns)):
-                if space in shared.value:
-                    by_space.setdefault(space, []).append((v, copies))
-            for space, own in by_space.items():
-                q, x = (np.frombuffer(b"".join([r[0] for r in some]), dtype=np.float64).reshape(len(some), -1) for some in (shared.value[space], own))
-                for i in range(0, len(x), 1024):
-                    # a cosine at the threshold may fall to either side, by the order of the sum
-                    total[space] = total.get(space, 0) + int(((q @ x[i : i + 1024].T >= threshold + 1e-12) @ np.array([r[1] for r in own[i : i + 1024]])).sum())
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], names=["space", "n"])
-
-    true = nodes.select("space", "v", "copies").mapInArrow(run, "space string, n long").groupBy("space").agg(F.sum("n").alias("n")).collect()  # of the audit's spaces
-    return {r.space: min(1.0, found[r.space] / r.n) for r in true if r.n}
+            known = {}
+            for space, own in shared.value.items():
+                c, v = zip(*own)
+                known[space] = np.array(c), np.frombuffer(b"".join(v), dtype=np.float64).reshape(len(v), -1), np.zeros(len(v), dtype=np.int64)
+            for batch in batches:
+                by_space: dict[str, list] = {}
+                for space, *row in zip(*(x.to_pylist() for x in batch.columns)):
+                    if space in known:
+                        by_space.setdefault(space, []).append(row)
+                for space, own in by_space.items():
+                    asks, q, total = known[space]
+                    for i in range(0, len(own), 256):
+                        c, v, copies = zip(*own[i : i + 256])
+                        # a cosine at the threshold may fall to either side, by the order of the sum
+                        link = q @ np.frombuffer(b"".join(v), dtype=np.float64).reshape(len(v), -1).T >= threshold + 1e-12
+                        total += (link & (asks[:, None] != np.array(c))) @ np.array(copies, dtype=np.int64)
+            for asks, _, total in known.values():
+                yield pa.RecordBatch.from_arrays([pa.array(asks[total > 0]), pa.array(total[total > 0])], names=["c", "true"])
+
+        true.append(store.written(spark, nodes.select("space", "c", "v", "copies").mapInArrow(run, "c long, true long").groupBy("c").agg(F.sum("true").alias("true")), "true"))
+    if not true:
+        return {}
+    every = true[0]
+    for more in true[1:]:
+        every = every.union(more)
+    part = F.least(F.lit(1.0), F.col("links") / F.col("true"))
+    return {r.space: r.part for r in asked.join(every, "c").groupBy("space").agg(F.avg(part).alias("part")).collect()}  # a row for each space
 
 
 def search(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", threshold: float = 0.98) -> tuple[DataFrame, float]:
