@@ -1,5 +1,6 @@
 """The Jaccard join against brute force over whole texts."""
 
+import math
 import random
 
 import pytest
@@ -90,3 +91,9 @@ def test_whole_table(spark):
 def test_recall_is_computed():
     assert chosen_path.survival(1.0, 1) == 1.0 and 0.6 < chosen_path.survival(0.8, 3) < 0.7
     assert (1 - chosen_path.survival(0.8, 3)) ** chosen_path.runs_for(0.9995, 0.8) <= 0.0005
+
+
+def test_recall_holds_for_the_deepest_splits_and_shared_minima():
+    runs, n = chosen_path.runs_for(0.9995, 0.8), 64
+    missed = sum(math.comb(n, a) * 0.8**a * 0.2 ** (n - a) * (1 - chosen_path.survival(a / n, chosen_path.DEPTH + 1)) ** runs for a in range(n + 1))
+    assert missed <= 0.0005

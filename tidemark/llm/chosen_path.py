@@ -8,7 +8,8 @@
    less similar ones die out.  Buckets of at most ``LIMIT`` sets are compared in full.  Larger ones are compared with
    one of their sets, the sets nearly equal to it retire, and the rest is split again; what is still large after
    ``DEPTH`` splits is compared in pairs of blocks.  Runs are repeated until the computed recall of a pair of just the
-   threshold similarity is at least ``recall``.
+   threshold similarity, in large buckets to the end, is at least ``recall``; all runs sample the same 64 minima, so it
+   is averaged over how many of them agree.
 3. Comparing means counting agreeing minima with a margin of almost five standard deviations.  A bucket gives a
    spanning forest of what it linked, never all its pairs; connected components of the forests are candidate groups.
 4. Exact check: the whole shingle sets of each candidate group are intersected, in pairs of blocks of at most
@@ -49,8 +50,21 @@ def survival(similarity: float, depth: int) -> float:
     return q
 
 
-def runs_for(recall: float, similarity: float, depth: int = 3) -> int:
-    return math.ceil(math.log(1 - recall) / math.log(1 - survival(similarity, depth)))
+def recall_of(runs: int, similarity: float, splits: int) -> float:
+    """Probability that a pair shares a bucket after ``splits`` splits in one of ``runs`` runs, which all sample the same minima."""
+    n, found = shingles.COORDINATES, 0.0
+    for agree in range(n + 1):
+        chance = math.comb(n, agree) * similarity**agree * (1 - similarity) ** (n - agree)
+        found += chance * (1 - (1 - survival(agree / n, splits)) ** runs)
+    return found
+
+
+def runs_for(recall: float, similarity: float, splits: int | None = None) -> int:
+    """Runs for pairs that stay in large buckets to the last split (DEPTH + 1 splits: one at the roots)."""
+    splits, runs = DEPTH + 1 if splits is None else splits, 1
+    while recall_of(runs, similarity, splits) < recall:
+        runs += 1
+    return runs
 
 
 def _picks(paths):
