@@ -48,6 +48,22 @@ def test_equals_brute_force(spark, seed):
     assert [rows[i] for i in range(len(texts))] == brute(texts)
 
 
+def test_units_whose_hashes_share_32_bits_are_two_kinds(spark, monkeypatch):
+    def alike(data):
+        import numpy as np
+
+        from tidemark.llm.suffix_dedup import units
+
+        lo, hi, h, uf = units(data)
+        return lo, hi, h, (uf & np.uint64(0xFFFFFFFF)) | np.uint64(1 << 40)
+
+    monkeypatch.setattr(suffix_dedup, "units", alike)
+    texts = corpus(4)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.removed(docs).collect()}
+    assert [rows[i] for i in range(len(texts))] == brute(texts)
+
+
 def test_long_texts_are_cut_into_segments(spark, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "SEGMENT", 300)
     texts = corpus(3)

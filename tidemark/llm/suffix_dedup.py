@@ -220,7 +220,7 @@ def _anchors(single: DataFrame) -> DataFrame:
             columns, size = [], 0
             for t, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 lo, hi, h, uf = units(data)
-                columns.append((h.view(np.int64), (uf >> np.uint64(32)).astype(np.uint32).view(np.int32), aid + np.arange(len(lo)), np.full(len(lo), t, dtype=np.int64), lo, hi))
+                columns.append((h.view(np.int64), uf.view(np.int64), aid + np.arange(len(lo)), np.full(len(lo), t, dtype=np.int64), lo, hi))
                 aid += len(lo)
                 size += len(lo)
                 if size > 200_000:
@@ -229,7 +229,7 @@ def _anchors(single: DataFrame) -> DataFrame:
             if columns:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*columns)], names=names)
 
-    return single.select("t", "data").mapInArrow(run, "h long, uf int, aid long, t long, lo long, hi long")
+    return single.select("t", "data").mapInArrow(run, "h long, uf long, aid long, t long, lo long, hi long")
 
 
 def _cut(docs: DataFrame, id_col: str, text_col: str, carry: list[str], make, names: list[str], schema: str) -> DataFrame:
