@@ -1,9 +1,11 @@
 """Packing, shards and BPE against the tokenizers library."""
 
 import hashlib
+import random
 import struct
 import zlib
 
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -25,12 +27,40 @@ def library(name):
     return t
 
 
+def random_texts(n, seed=5):
+    """Texts of few kinds of characters in all orders: white space of all sorts, contractions, marks, special tokens."""
+    rng = random.Random(seed)
+    parts = [" ", " ", " ", "  ", "\n", "\t", "\r\n", "\x0b", "\x1c", "\x85", "\xa0", "\u3000", "\x00", "a", "b", "'s", "'", "x", "1", "½", ".", ",", "-", "é", "ê", "Ø", "İ", "Σ", "\u0301", "日", "<|endoftext|>", "<|end"]
+    return ["".join(rng.choice(parts) for _ in range(rng.randint(0, 14))) for _ in range(n)]
+
+
 @pytest.mark.parametrize("name", [BYTE, WORD])
-def test_chunks_give_the_librarys_ids(name):
+def test_batches_give_the_librarys_ids(name):
     lib, own = library(name), tokens.ChunkEncoder(name)
-    for _ in range(2):  # the second time from the cache
-        for text in HARD:
-            assert list(memoryview(own.encode(text)).cast("I")) == lib.encode(text or "", add_special_tokens=False).ids, text
+    texts = HARD + random_texts(4000)
+    for _ in range(2):  # the second time with known words
+        ids, sizes = own.encode_all(pa.array(texts, pa.string()))
+        at = 0
+        for text, n in zip(texts, sizes.tolist()):
+            assert ids[at : at + n].tolist() == lib.encode(text or "", add_special_tokens=False).ids, text
+            at += n
+        assert at == len(ids)
+    assert [own.encode(t) for t in HARD] == [lib.encode(t or "", add_special_tokens=False).ids for t in HARD]
+
+
+def test_known_words_are_bounded(monkeypatch):
+    monkeypatch.setattr(tokens, "KNOWN_WORDS", 200)
+    lib, own = library(BYTE), tokens.ChunkEncoder(BYTE)
+    for seed in range(4):
+        texts = [" ".join(f"w{seed}x{i}" + "abc"[i % 3] for i in range(150))] * 2 + ["the word " * 3]
+        ids, sizes = own.encode_all(pa.array(texts))
+        assert ids.tolist() == [i for t in texts for i in lib.encode(t, add_special_tokens=False).ids]
+        assert all(half is None or len(half[0]) <= 100 for half in own.known.halves)
+
+
+def test_batches_are_cut_by_bytes():
+    batch = pa.record_batch([pa.array([1, 2, 3, 4, 5]), pa.array(["a" * 90, None, "b" * 9, "c" * 500, ""])], names=["i", "t"])
+    assert [b.num_rows for b in tokens.small_batches(batch, 1, 100)] == [3, 1, 1]
 
 
 @pytest.mark.parametrize("name", [BYTE, WORD])

@@ -21,6 +21,10 @@ from pyspark.sql import functions as F
 
 from . import store, tokens
 
+#: Fixed value: bytes that a worker's cache of words, and that of pieces, may take.
+CACHE_BYTES = 32 << 20
+
+
 def merged(symbols: list[int], rules: dict[tuple[int, int], tuple[int, int]]) -> list[int]:
     """Apply merges, lowest rank first and leftmost among equals, until none fits; ``rules``: pair to (rank, new symbol)."""
     n = len(symbols)
@@ -81,8 +85,7 @@ class Codec:
         self.byte_decoder = (config.get("decoder") or {}).get("type") == "ByteLevel"
         self.bytes_of = {c: b for b, c in alphabet.items()}
         self._special = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.pieces: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
+        self.pieces, self.words = tokens.Cache(self._piece, CACHE_BYTES), tokens.Cache(self._whole, CACHE_BYTES)
 
     def _piece(self, piece: str) -> bytes:
         data = piece.encode("utf-8")
@@ -90,15 +93,7 @@ class Codec:
         return array("I", merged(symbols, self.rules)).tobytes()
 
     def _plain(self, text: str) -> bytes:
-        out = []
-        for piece in self.pattern.findall(tokens.normal(text, self.steps)):
-            ids = self.pieces.get(piece)
-            if ids is None:
-                if len(self.pieces) >= tokens.CACHE_CHUNKS:
-                    self.pieces.clear()
-                ids = self.pieces[piece] = self._piece(piece)
-            out.append(ids)
-        return b"".join(out)
+        return b"".join([self.pieces[piece] for piece in self.pattern.findall(tokens.normal(text, self.steps))])
 
     def _whole(self, text: str) -> bytes:
         if self._special is None or not any(s in text for s in self.special):
@@ -111,15 +106,7 @@ class Codec:
             return b""
         if not self.by_word or tokens._ODD.search(text):
             return self._whole(text)
-        words, known, out = text.split(), self.words, []
-        for word in words:
-            ids = known.get(word)
-            if ids is None:
-                if len(known) >= tokens.CACHE_CHUNKS:
-                    known.clear()
-                ids = known[word] = self._whole(word)
-            out.append(ids)
-        return b"".join(out)
+        return b"".join([self.words[word] for word in text.split()])
 
     def encode(self, text: str | None) -> list[int]:
         return list(memoryview(self.encode_bytes(text)).cast("I"))

@@ -13,8 +13,6 @@ each; an empty table gives no rows; other columns are ignored.  Only the last se
 
 from __future__ import annotations
 
-import struct
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,25 +21,23 @@ from . import store, tokens
 
 def encoded(docs: DataFrame, tokenizer: str, id_col: str, text_col: str, end_id: int) -> DataFrame:
     """part, start_in_part, id, n_tokens, ids (unsigned 32-bit little-endian) of every document, lazily."""
-    end = struct.pack("<I", end_id)
 
     def run(batches):
+        import numpy as np
         import pyarrow as pa
         from pyspark import TaskContext
 
-        encode, part, so_far = tokens.encoder(tokenizer).encode, TaskContext.get().partitionId(), 0
+        own, part, so_far = tokens.encoder(tokenizer), TaskContext.get().partitionId(), 0
         for whole in batches:
             for batch in tokens.small_batches(whole, 1):
-                ids = [encode(t) + end for t in batch.column(1).to_pylist()]
-                counts = [len(x) // 4 for x in ids]
-                starts = []
-                for n in counts:
-                    starts.append(so_far)
-                    so_far += n
+                ids, counts = tokens.with_end(*own.encode_all(batch.column(1)), end_id)
+                starts = so_far + np.cumsum(counts) - counts
+                so_far += int(counts.sum())
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([part] * len(ids), pa.int32()), pa.array(starts, pa.int64()), batch.column(0), pa.array(counts, pa.int64()), pa.array(ids, pa.binary())],
+                    [pa.array(np.full(len(counts), part, np.int32)), pa.array(starts), batch.column(0), pa.array(counts), tokens.binaries(ids, counts)],
                     names=["part", "start_in_part", "doc_id", "n_tokens", "ids"],
                 )
+        tokens.tidy()
 
     chosen = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     kind = chosen.schema["doc_id"].dataType.simpleString()

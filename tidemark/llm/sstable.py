@@ -193,14 +193,16 @@ def write_shards(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
 
         enc, task = tokens.encoder(tokenizer), TaskContext.get()
         dtype = np.uint16 if enc.library.get_vocab_size(with_added_tokens=True) <= 1 << 16 and end_id < 1 << 16 else np.uint32
-        end = np.array([end_id], dtype=dtype).tobytes()
         name, writer = f"{path}/shard-{task.partitionId():06d}-{uuid.uuid4().hex[:8]}.sst", None
         for whole in batches:
             for batch in tokens.small_batches(whole, 1):
-                for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                    value, key = np.frombuffer(enc.encode(text), dtype=np.uint32).astype(dtype).tobytes() + end, key_of(doc_id)
-                    writer = writer or Writer(store.open_out(name), dtype().itemsize)
-                    writer.add(key, value)
+                ids, counts = tokens.with_end(*enc.encode_all(batch.column(1)), end_id)
+                data, at, width = ids.astype(dtype).tobytes(), 0, dtype().itemsize
+                for doc_id, n in zip(batch.column(0).to_pylist(), (counts * width).tolist()):
+                    writer = writer or Writer(store.open_out(name), width)
+                    writer.add(key_of(doc_id), data[at : at + n])
+                    at += n
+        tokens.tidy()
         if writer:
             writer.close()
             row = [task.partitionId(), name, writer.n_docs, writer.n_tokens, writer.at]
