@@ -182,8 +182,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         own = shingles.shingler()
         for batch in batches:
             fps, ns, sigs = [], [], []
-            for text in batch.column(2).to_pylist():
-                s = own.set_of(text)
+            for s in own.sets_of(batch.column(2)):
                 ns.append(len(s))
                 fps.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
                 sigs.append(own.minima(s).tobytes() if len(s) else None)
@@ -300,7 +299,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
         own = shingles.shingler()
         for batch in batches:
-            sets = [own.set_of(t).tobytes() for t in batch.column(5).to_pylist()]
+            sets = [s.tobytes() for s in own.sets_of(batch.column(5))]
             keep = [hashlib.blake2b(s, digest_size=16).digest() == fp for s, fp in zip(sets, batch.column(4).to_pylist())]
             yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(sets, pa.binary())], names=["c", "component", "blocks", "copies", "set"]).filter(pa.array(keep))
 

@@ -1,7 +1,7 @@
 """Quality classifier: logistic regression on hashed word n-grams, trained with follow-the-regularised-leader updates.
 
 Features of a text, in four groups of unit length each: words, pairs of neighbouring words, word shapes and pairs of
-shapes (a shape is the word with letters and digits reduced to their kind and runs to one), every one hashed into
+shapes (a shape has the kinds of the word's characters, runs of one kind reduced to one), every one hashed into
 ``2 ** BITS`` places, weighted by ``log(1 + count)``.  A score is the sparse dot product with the weights, squashed.
 
 Training reads a bounded sample of the labelled documents: the ``sample`` of smallest identifier hash.  One task trains
@@ -15,8 +15,6 @@ score is 0.5; repeated rows are scored each; other columns are ignored.
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,58 +27,80 @@ EPOCHS = 3
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.02, 0.1
 THRESHOLD = 0.7
 
-_KINDS = [(re.compile(r"[^\W\d_]+"), lambda m: "A" if m[0].isupper() else "a" if m[0].islower() else "Aa"), (re.compile(r"\d+"), lambda m: "9"), (re.compile(r"(.)\1+"), lambda m: m[1])]
 
+def _kinds():
+    """For each byte of a text its kind: capital, small letter (all of other scripts' bytes too), digit, or itself."""
+    import numpy as np
 
-def shape(word: str) -> str:
-    for pattern, kind in _KINDS:
-        word = pattern.sub(kind, word)
-    return word[:8]
+    kinds = np.arange(256, dtype=np.uint8)
+    kinds[ord("A") : ord("Z") + 1], kinds[ord("a") : ord("z") + 1], kinds[ord("0") : ord("9") + 1], kinds[128:] = ord("A"), ord("a"), ord("9"), ord("a")
+    return kinds
 
 
-class Features:
-    """Hashed features of texts, with a cache of words."""
+def shapes(words):
+    """The shape of each word of an Arrow array: its bytes' kinds, runs of one kind reduced to one, the first eight, as a number."""
+    import numpy as np
 
-    def __init__(self):
-        self.words: dict[str, int] = {}
-        self.shapes: dict[str, int] = {}
+    ends = np.frombuffer(words.buffers()[1], dtype=np.int32)[words.offset : words.offset + len(words) + 1].astype(np.int64)
+    data = np.frombuffer(words.buffers()[2], dtype=np.uint8)[ends[0] : ends[-1]] if len(words) and ends[-1] > ends[0] else np.empty(0, np.uint8)
+    ends = ends - ends[0]
+    kind, new = _kinds()[data], np.ones(len(data) + 1, dtype=bool)
+    new[1:-1] = kind[1:] != kind[:-1]
+    new[ends] = True
+    upto = np.cumsum(new[:-1], dtype=np.int64)
+    place = upto - 1 - np.repeat(np.concatenate(([0], upto))[ends[:-1]], np.diff(ends))
+    taken = new[:-1] & (place < 8)
+    total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(np.where(taken, kind.astype(np.uint64) << (np.uint64(8) * np.minimum(place, 7).astype(np.uint64)), np.uint64(0)), dtype=np.uint64)))
+    return total[ends[1:]] - total[ends[:-1]]  # sums modulo 2 ** 64 of disjoint bytes
+
+
+def features(texts):
+    """For each text of an Arrow array: places (int32, distinct within a group) and values (float32); a few MB of texts at a time."""
+    import numpy as np
+    import pyarrow as pa
+    import xxhash
+
+    mix = np.uint64(0x9E3779B97F4A7C15)
+    for batch in tokens.small_batches(pa.record_batch([texts], names=["t"]), 0):
+        words, ends = tokens.words_of(batch.column(0))
+        different, at = tokens.numbered(words)
+        h = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in different.to_pylist()), np.uint64, len(different))
+        s = (shapes(different) * mix) >> np.uint64(48)
+        all_h, all_s, start = h[at], s[at], 0
+        for end in ends.tolist():
+            h, s, start = all_h[start:end], all_s[start:end], end
+            if not len(h):
+                yield np.empty(0, np.int32), np.empty(0, np.float32)
+                continue
+            groups = [h, s + np.uint64(1)]
+            if len(h) > 1:
+                same = (h[1:] == h[:-1]).astype(np.uint64)
+                groups += [h[:-1] * np.uint64(0xC2B2AE3D27D4EB4F) + h[1:], (s[:-1] << np.uint64(20)) + (s[1:] << np.uint64(3)) + same + np.uint64(1 << 40)]
+            places, values = [], []
+            for k, g in enumerate(groups):
+                p, n = np.unique(((g ^ np.uint64(k * 0x5851F42D4C957F2D & (1 << 64) - 1)) * mix) >> np.uint64(64 - BITS), return_counts=True)
+                v = np.log1p(n)
+                places.append(p.astype(np.int32))
+                values.append((v / np.sqrt(v @ v)).astype(np.float32))
+            yield np.concatenate(places), np.concatenate(values)
+
+
+def example(places, values):
+    """One training example: the groups' values added up by place, and the bias."""
+    import numpy as np
 
-    def _hash(self, word: str) -> int:
-        """48 bits of the word's hash and 16 of its shape's."""
-        import xxhash
+    i, back = np.unique(np.append(places, np.int32(1 << BITS)), return_inverse=True)
+    return i, np.bincount(back, np.append(values, 1.0)).astype(np.float32)
 
-        if len(self.words) >= tokens.CACHE_CHUNKS:
-            self.words.clear()
-        s = xxhash.xxh3_64_intdigest(shape(word).encode()) & 0xFFFF
-        h = self.words[word] = xxhash.xxh3_64_intdigest(word.encode("utf-8", "replace")) & ~0xFFFF | s
-        return h
 
-    def of(self, text: str | None):
-        """Places (int64, distinct within a group) and values (float64)."""
-        import numpy as np
+def score_of(weights, places, values) -> float:
+    import numpy as np
 
-        words = (text or "").split()
-        if not words:
-            return np.empty(0, np.int64), np.empty(0)
-        known = self.words.get
-        h = np.array([known(w) or self._hash(w) for w in words], dtype=np.uint64)
-        s = h & np.uint64(0xFFFF)
-        mix = np.uint64(0x9E3779B97F4A7C15)
-        groups = [h, s + np.uint64(1)]
-        if len(h) > 1:
-            same = (h[1:] == h[:-1]).astype(np.uint64)
-            groups += [h[:-1] * np.uint64(0xC2B2AE3D27D4EB4F) + h[1:], (s[:-1] << np.uint64(20)) + (s[1:] << np.uint64(3)) + same + np.uint64(1 << 40)]
-        places, values = [], []
-        for k, g in enumerate(groups):
-            p, n = np.unique(((g ^ np.uint64(k * 0x5851F42D4C957F2D & (1 << 64) - 1)) * mix) >> np.uint64(64 - BITS), return_counts=True)
-            v = np.log1p(n)
-            places.append(p.astype(np.int64))
-            values.append(v / np.sqrt(v @ v))
-        return np.concatenate(places), np.concatenate(values)
+    return float(1 / (1 + np.exp(-np.clip(weights[places] @ values + weights[-1], -35, 35))))
 
 
 def train(examples, epochs: int = EPOCHS):
-    """Weights (the last is the bias) from (places, values, label 0 or 1), by FTRL-proximal updates in the given order."""
+    """Weights (the last is the bias) from (*example, label 0 or 1), by FTRL-proximal updates in the given order."""
     import numpy as np
 
     size = (1 << BITS) + 1
@@ -89,12 +109,8 @@ def train(examples, epochs: int = EPOCHS):
     def weights(i):
         return np.where(np.abs(z[i]) <= L1, 0.0, -(z[i] - np.sign(z[i]) * L1) / ((BETA + np.sqrt(n[i])) / ALPHA + L2))
 
-    merged = []
-    for places, values, label in examples:
-        i, back = np.unique(np.append(places, size - 1), return_inverse=True)
-        merged.append((i, np.bincount(back, np.append(values, 1.0)), label))
     for _ in range(epochs):
-        for i, x, label in merged:
+        for i, x, label in examples:
             w = weights(i)
             g = (1 / (1 + np.exp(-np.clip(w @ x, -35, 35))) - label) * x
             n_new = n[i] + g * g
@@ -103,15 +119,6 @@ def train(examples, epochs: int = EPOCHS):
     return weights(np.arange(size)).astype(np.float32)
 
 
-_FEATURES: list[Features] = []
-
-
-def features() -> Features:
-    if not _FEATURES:
-        _FEATURES.append(Features())
-    return _FEATURES[0]
-
-
 def remainder(id_col: str) -> Column:
     """crc32 of the identifier as text, modulo 4."""
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % 4
@@ -129,12 +136,14 @@ def fitted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     def fit(batches):
         import pyarrow as pa
 
-        own, examples = features(), []
+        examples = []
         for batch in batches:
-            examples += [(o, i, label, *own.of(t)) for o, i, t, label in zip(*(batch.column(c).to_pylist() for c in ("o", "doc_id", "text", "label")))]
+            numbers = zip(*(batch.column(c).to_pylist() for c in ("o", "doc_id", "label")))
+            examples += [(*row, *example(p, v)) for row, (p, v) in zip(numbers, features(batch.column("text")))]
         examples.sort(key=lambda e: e[:3])
         if examples:
-            yield pa.RecordBatch.from_arrays([pa.array([train([(p, v, y) for _, _, y, p, v in examples]).tobytes()], pa.binary())], names=["weights"])
+            yield pa.RecordBatch.from_arrays([pa.array([train([(i, x, label) for _, _, label, i, x in examples]).tobytes()], pa.binary())], names=["weights"])
+        tokens.tidy()
 
     got = bounded.select("o", "doc_id", "text", "label").repartition(1).mapInArrow(fit, "weights binary").collect()
     return got[0].weights if got else bytes(4 * ((1 << BITS) + 1))
@@ -150,13 +159,11 @@ def scored(docs: DataFrame, weights: bytes, id_col: str = "doc_id", text_col: st
         import numpy as np
         import pyarrow as pa
 
-        own, w = features(), np.frombuffer(shared.value, dtype=np.float32).astype(np.float64)
+        w = np.frombuffer(shared.value, dtype=np.float32).astype(np.float64)
         for batch in batches:
-            out = []
-            for text in batch.column(0).to_pylist():
-                places, values = own.of(text)
-                out.append(1 / (1 + np.exp(-np.clip(w[places] @ values + w[-1], -35, 35))))
+            out = [score_of(w, p, v) for p, v in features(batch.column(0))]
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(out, pa.float64())], names=[*batch.schema.names[1:], "score"])
+        tokens.tidy()
 
     carry = carry or [id_col]
     chosen = docs.select(F.col(text_col).cast("string").alias("_text"), *[F.col(c) for c in carry])
@@ -180,9 +187,10 @@ def kept(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: s
         import numpy as np
         import pyarrow as pa
 
-        own, w = features(), np.frombuffer(shared.value, dtype=np.float32).astype(np.float64)
+        w = np.frombuffer(shared.value, dtype=np.float32).astype(np.float64)
         for batch in batches:
-            good = [1 / (1 + np.exp(-np.clip(w[p] @ v + w[-1], -35, 35))) >= THRESHOLD for p, v in map(own.of, batch.column(at).to_pylist())]
+            good = [score_of(w, p, v) >= THRESHOLD for p, v in features(batch.column(at).cast(pa.string()))]
             yield batch.filter(pa.array(good, pa.bool_()))
+        tokens.tidy()
 
     return docs.mapInArrow(run, docs.schema)

@@ -26,26 +26,33 @@ class Shingler:
     def __init__(self):
         import numpy as np
 
-        self.words: dict[bytes, int] = {}
         steps = np.arange(1, 129, dtype=np.uint64)
         self.powers = mix(steps) | np.uint64(1)
         self.factors = mix(steps[:COORDINATES] + np.uint64(1 << 20)) | np.uint64(1)
 
-    def _hash(self, word: bytes) -> int:
+    def sets_of(self, texts):
+        """The distinct shingles, sorted, of each text of an Arrow array: one array for each; the words of a few MB at a time."""
+        import numpy as np
+        import pyarrow as pa
         import xxhash
 
-        if len(self.words) >= tokens.CACHE_CHUNKS:
-            self.words.clear()
-        h = self.words[word] = xxhash.xxh3_64_intdigest(word) or 1
-        return h
+        for batch in tokens.small_batches(pa.record_batch([texts], names=["t"]), 0):
+            words, ends = tokens.words_of(batch.column(0))
+            different, at = tokens.numbered(words)
+            hashes = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in different.to_pylist()), np.uint64, len(different))[at]
+            start = 0
+            for end in ends.tolist():
+                yield self._set(hashes[start:end])
+                start = end
 
     def set_of(self, text: str | None):
-        """The distinct shingles of a text, sorted."""
+        import pyarrow as pa
+
+        return next(self.sets_of(pa.array([text], pa.string())))
+
+    def _set(self, h):
         import numpy as np
 
-        words = (text or "").encode("utf-8").split()  # of bytes: at ASCII white space
-        known = self.words.get
-        h = np.array([known(w) or self._hash(w) for w in words], dtype=np.uint64)
         n = len(h)
         if n == 0:
             return h
