@@ -5,6 +5,7 @@ import random
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.llm import lcp_sort, suffix_dedup
 
@@ -48,28 +49,41 @@ def test_equals_brute_force(spark, seed):
     assert [rows[i] for i in range(len(texts))] == brute(texts)
 
 
-def test_units_whose_hashes_share_32_bits_are_two_kinds(spark, monkeypatch):
-    def alike(data):
-        import numpy as np
+def test_segments_and_fingerprints_equal_by_chance(spark):
+    texts = corpus(3)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for options in ({"segment": 300}, {"bits": 1}):
+        rows = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.removed(docs, **options).collect()}
+        assert [rows[i] for i in range(len(texts))] == brute(texts), options
 
-        from tidemark.llm.suffix_dedup import units
 
-        lo, hi, h, uf = units(data)
-        return lo, hi, h, (uf & np.uint64(0xFFFFFFFF)) | np.uint64(1 << 40)
+def test_whole_table(spark):
+    from tidemark.llm import queries
 
-    monkeypatch.setattr(suffix_dedup, "units", alike)
-    texts = corpus(4)
-    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    rows = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.removed(docs).collect()}
-    assert [rows[i] for i in range(len(texts))] == brute(texts)
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()
+    rows = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in queries.op8_suffix_dedup(spark, "/root/testdata/sf0.001").collect()}
+    assert [rows[d.doc_id] for d in docs] == brute([d.text for d in docs])
 
 
-def test_long_texts_are_cut_into_segments(spark, monkeypatch):
-    monkeypatch.setattr(suffix_dedup, "SEGMENT", 300)
-    texts = corpus(3)
-    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    rows = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.removed(docs).collect()}
-    assert [rows[i] for i in range(len(texts))] == brute(texts)
+def test_columns_of_any_name(spark):
+    text = "a passage that is long enough " * 9
+    names = ["t", "data", "sha", "text", "spans", "whole", "a.b", "k0", "m0", "first", "x`y"]
+    rows = [tuple([f"{c}{i}" if c != "text" else (f"{i} " + text if i else None) for c in names]) for i in range(3)]
+    docs = spark.createDataFrame(rows, ", ".join(f"`{c.replace('`', '``')}` string" for c in names)).select("*", F.lit(1).alias("doc_id"))
+    got = suffix_dedup.without_repeats(docs)
+    assert got.columns == docs.columns
+    assert sorted(tuple(r) for r in got.collect()) == sorted(tuple([("" if i == 0 else f"{i}") if c == "text" else v for c, v in zip(names, r)]) + (1,) for i, r in enumerate(rows))
+
+
+def test_repeated_keys(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    groups = [rng.integers(0, 1 << 63, 300, dtype=np.uint64) * np.uint64(2) for _ in range(5)]
+    groups[0][:5], groups[1][7], groups[2][:2] = groups[3][:5], groups[4][0], np.uint64(42)
+    rows = spark.createDataFrame([(g, bytearray(k.tobytes())) for g, k in enumerate(groups)], "g long, keys binary")
+    got = {r.g: sorted(np.frombuffer(b"".join(r.found), dtype=np.uint64).tolist()) for r in suffix_dedup.repeated_keys(rows).collect()}
+    assert got == {0: sorted(groups[3][:5].tolist()), 3: sorted(groups[3][:5].tolist()), 1: [int(groups[4][0])], 4: [int(groups[4][0])], 2: [42]}
 
 
 def test_nulls_repeats_and_nothing(spark):

@@ -16,7 +16,8 @@ from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
 
-RUN_STRINGS, RANGE_BYTES = 60_000, 24 << 20
+#: Strings of a run, bytes of strings of a part, ranges.
+RUN_STRINGS, RANGE_BYTES, MOST_RANGES = 60_000, 24 << 20, 1024
 _HEAD = struct.Struct("<HH?qqq")  # shared, further length, several in the run, locator (t, lo, n) of one of them
 
 
@@ -107,22 +108,26 @@ def merged(runs: list[Run]) -> Iterator[tuple[bytes, int, bool, tuple]]:
             node //= 2
 
 
-def ranges_for(spark, size: int) -> int:
-    """Ranges for ``size`` bytes of strings."""
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // RANGE_BYTES))
+def ranges_for(spark, size: int) -> tuple[int, int]:
+    """Ranges, at most ``MOST_RANGES``, and parts (ranges times the pieces that each is dealt into) for ``size`` bytes of strings."""
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // RANGE_BYTES))
+    ranges = min(parts, MOST_RANGES)
+    return ranges, ranges * -(-parts // ranges)
 
 
-def repeated(strings: DataFrame, sample: list[bytes], parts: int) -> DataFrame:
+def repeated(strings: DataFrame, sample: list[bytes], ranges: int, parts: int, least: int) -> DataFrame:
     """Of rows (s binary, t long, lo long, n long): t, lo, n of those whose string occurs, or begins a longer one, elsewhere.
 
-    ``sample``: some of the strings, or others like them, a few dozen for each of the ``parts`` ranges.
+    ``sample``: beginnings of some of the strings, or of others like them, a few dozen for each of the ``ranges``; a range
+    is dealt into parts / ranges pieces by a hash of the first ``least`` bytes, which all strings have.
     """
-    spark = strings.sparkSession
+    spark, pieces = strings.sparkSession, parts // ranges
     cuts = [bytes(x) for x in sorted(sample)]
-    shared = spark.sparkContext.broadcast([cuts[len(cuts) * i // parts] for i in range(1, parts)] if cuts else [])  # one short string for each range
+    shared = spark.sparkContext.broadcast([cuts[len(cuts) * i // ranges] for i in range(1, ranges)] if cuts else [])  # a short string for each range, their number bounded
 
     def runs(batches):
         import bisect
+        import zlib
 
         import pyarrow as pa
         import zstandard
@@ -144,14 +149,17 @@ def repeated(strings: DataFrame, sample: list[bytes], parts: int) -> DataFrame:
             keys, blobs, a = [], [], 0
             for part in range(len(cuts) + 1):
                 b = bisect.bisect_left(entries, cuts[part], key=lambda e: e[0]) if part < len(cuts) else len(entries)
-                if b > a:
+                piece = [zlib.crc32(e[0][:least]) % pieces for e in entries[a:b]] if pieces > 1 else [0] * (b - a)
+                for k in range(pieces) if b > a else ():
                     out, before = [], b""
-                    for s, several, where in entries[a:b]:
-                        n = common(before, s)
-                        out.append(entry(n, s, several, where))
-                        before = s
-                    keys.append(part)
-                    blobs.append(pack(b"".join(out)))
+                    for (s, several, where), own in zip(entries[a:b], piece):
+                        if own == k:
+                            n = common(before, s)
+                            out.append(entry(n, s, several, where))
+                            before = s
+                    if out:
+                        keys.append(part * pieces + k)
+                        blobs.append(pack(b"".join(out)))
                 a = b
             m = len(keys)
             spread = [part_of(w) % parts for w in decided]

@@ -9,19 +9,23 @@ from __future__ import annotations
 
 import gc
 import os
+import re
 import tempfile
 import uuid
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 ROOT = str(Path(__file__).resolve().parents[2])
 
 
 def base_dir(spark: SparkSession) -> str:
-    """The shared folder's URI; local and temporary only where the session names none."""
+    """The shared folder's URI; a local, temporary one only where the session names none and all of Spark is one process."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         named = "file://" + tempfile.mkdtemp(prefix="tidemark-")
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")
@@ -50,6 +54,11 @@ def dropped(spark: SparkSession, *tables: DataFrame) -> None:
             path.getFileSystem(conf).delete(path, True)
 
 
+def column(name: str) -> Column:
+    """The column of this very name, whatever characters it has."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def importable(spark: SparkSession) -> None:
     """Let Python workers import this package where driver and workers share the code's folder."""
     env = spark.sparkContext.environment
@@ -77,8 +86,6 @@ def open_in(uri: str):
 
 def one_per_task(spark: SparkSession, rows: list, schema: str) -> DataFrame:
     """``rows`` (a driver-side list of shards, a few fields each), one to a partition, in order."""
-    from pyspark.sql import functions as F
-
     n = max(1, len(rows))
     small = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "_i long, " + schema)
     return spark.range(0, n, 1, n).join(F.broadcast(small), F.col("id") == F.col("_i")).drop("id", "_i")

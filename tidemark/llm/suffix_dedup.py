@@ -8,15 +8,20 @@ dropped first by distributed duplicate detection on fingerprints, which never dr
 1. Each string of LENGTH bytes is assigned to its anchor, the position inside it where a hash of CORE bytes is least.
    Consecutive strings share anchors, and equal strings have the same core at the same place in them.  A run of strings
    with one anchor is a unit; its fingerprints are of the core and of all the unit's bytes.
-2. Counted over the corpus: a core that occurs once drops its unit.  A unit whose bytes occur twice repeats as a whole
-   and is one string to sort.  Where units of one core differ, their strings of LENGTH bytes are fingerprinted one by
-   one, and those that occur twice are strings to sort.
-3. ``lcp_sort`` sorts what is left and decides by comparing bytes: fingerprints alone remove nothing.
+2. Counted over the corpus (``repeated_keys``: sorted runs of different fingerprints go to ranges, which answer with
+   those that occur twice): a core that occurs once drops its unit.  A unit whose bytes occur twice repeats as a whole
+   and is one string to sort.  Where units of one core differ, their strings of LENGTH bytes are fingerprinted one by one.
+   Of neighbouring strings that occur twice the first and the last cover the same bytes as all (a unit has fewer than
+   LENGTH strings), so these two are sorted, each with another place that has its fingerprint.
+3. ``lcp_sort`` sorts what is left and decides by comparing bytes.  If it finds any of these strings only once, two
+   fingerprints were equal by chance: then all strings of all units whose cores repeat are sorted, so that fingerprints
+   neither remove nor keep a byte.
 
-Texts that have an exact copy and LENGTH bytes are removed whole without a sort of their strings.
+Texts that have an exact copy (by SHA-256) and LENGTH bytes are removed whole without a sort of their strings.
 
 Defined results: a null text is an empty one; nulls and texts under LENGTH bytes lose nothing; repeated rows are exact copies;
-null identifiers are results of their own; an empty table gives no rows; other columns are ignored.
+null identifiers are results of their own; an empty table gives no rows; other columns, of any name, are ignored by
+``removed`` and kept by ``without_repeats``.
 """
 
 from __future__ import annotations
@@ -24,10 +29,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import lcp_sort, store
+from . import lcp_sort, store, tokens
 
 LENGTH, CORE = 200, 96
-SEGMENT = 1 << 22
+#: Bytes of a text that are hashed at a time, fingerprints of a group, bytes of fingerprints of a range.
+SEGMENT, GROUP, RANGE_BYTES = 1 << 22, 200_000, 12 << 20
+#: Texts with copies up to which the list of them is broadcast (some 60 bytes each).
+MOST_BROADCAST = 200_000
 _B = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
 
@@ -69,14 +77,14 @@ def range_hash(p, start, end):
     return h ^ (h >> np.uint64(32))
 
 
-def units(data: bytes):
+def units(data: bytes, segment: int = SEGMENT):
     """lo, hi (first and last start of the strings with one anchor), hash of the core, hash of the unit: arrays."""
     import numpy as np
 
     parts, n = [], len(data)
     whole = np.frombuffer(data, dtype=np.uint8)
-    for at in range(0, n - LENGTH + 1, SEGMENT):
-        x = whole[at : at + SEGMENT + LENGTH - 1]
+    for at in range(0, n - LENGTH + 1, segment):
+        x = whole[at : at + segment + LENGTH - 1]
         p, m = prefix_hashes(x), len(x) - CORE + 1
         starts = np.arange(m)
         h = range_hash(p, starts, starts + CORE)
@@ -97,190 +105,381 @@ def units(data: bytes):
     return tuple(np.concatenate(c) for c in zip(*parts))
 
 
-def union_of(pieces) -> list[tuple[int, int]]:
-    """Disjoint (start, end), in order, from (lo, n): strings of LENGTH bytes starting at lo .. lo + n - 1."""
-    out: list[list[int]] = []
-    for lo, n in sorted(pieces):
-        end = lo + n - 1 + LENGTH
-        if out and lo <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], end)
-        else:
-            out.append([lo, end])
-    return [(a, b) for a, b in out]
+def union_of(starts, counts):
+    """Disjoint starts and ends, in order, from arrays: strings of LENGTH bytes starting at start .. start + count - 1."""
+    import numpy as np
 
+    order = np.argsort(starts, kind="stable")
+    starts = starts[order]
+    ends = np.maximum.accumulate(starts + counts[order] - 1 + LENGTH)
+    new = np.append(True, starts[1:] > ends[:-1])
+    return starts[new], ends[np.append(new[1:], True)]
 
-def _unit_bytes(batches):
-    """Rows (t, copies, data, units) to one row for each unit: x, t, lo, n, whole, each, u."""
-    import pyarrow as pa
-    from pyspark import TaskContext
 
-    x = TaskContext.get().partitionId() << 40
-    for batch in batches:
-        for t, data, found in zip(*(c.to_pylist() for c in batch.columns)):
-            for a in range(0, len(found), 20_000):
-                rows = []
-                for f in found[a : a + 20_000]:
-                    rows.append((x, t, f["lo"], f["hi"] - f["lo"] + 1, f["whole"], f["each"], data[f["lo"] : f["hi"] + LENGTH]))
-                    x += 1
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.binary()))], names=["x", "t", "lo", "n", "whole", "each", "u"])
+def _spread(first, n):
+    """first, first + 1, .. of ``n`` each, one run after the other."""
+    import numpy as np
+
+    return np.repeat(first - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
 
 
-def _window_hashes(batches):
-    """Rows (x, n, u) to the fingerprint of each string of the unit: wf, at (x and the place in the unit, packed)."""
+def _member(keys, of):
+    """Which of ``keys`` are in the sorted array ``of``."""
     import numpy as np
-    import pyarrow as pa
 
-    for batch in batches:
-        out_w, out_at = [], []
-        for x, n, u in zip(*(c.to_pylist() for c in batch.columns)):
-            i = np.arange(n)
-            p = prefix_hashes(np.frombuffer(u, dtype=np.uint8))
-            out_w.append(range_hash(p, i, i + LENGTH).view(np.int64))
-            out_at.append((np.int64(x) << np.int64(8)) + i)
-        if out_w:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_w)), pa.array(np.concatenate(out_at))], names=["wf", "at"])
-
-
-def _strings(batches):
-    """Rows (t, lo, n, u, places) to the strings to sort: the whole unit where places is null, else one for each place."""
+    return of[np.minimum(np.searchsorted(of, keys), len(of) - 1)] == keys if len(of) else np.zeros(len(keys), dtype=bool)
+
+
+def _bytes(*arrays):
     import pyarrow as pa
 
-    for batch in batches:
-        rows = []
-        for t, lo, n, u, places in zip(*(c.to_pylist() for c in batch.columns)):
-            if places is None:
-                rows.append((u, t, lo, n))
-            else:
-                rows += [(u[i : i + LENGTH], t, lo + i, 1) for i in places]
-            if len(rows) > 50_000:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.binary(), pa.int64(), pa.int64(), pa.int64()))], names=["s", "t", "lo", "n"])
-                rows = []
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.binary(), pa.int64(), pa.int64(), pa.int64()))], names=["s", "t", "lo", "n"])
-
-
-def repeats(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """sha (of the text's bytes), whole (the text has an exact copy), spans (array of lo, n) of the texts that lose bytes."""
-    spark = docs.sparkSession
-    data = F.encode(F.coalesce(F.col(text_col).cast("string"), F.lit("")), "UTF-8")
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), data.alias("data")).where(F.octet_length("data") >= LENGTH)
-    texts = texts.withColumn("sha", F.unhex(F.sha1("data")))
-    classes = texts.groupBy("sha").agg(F.count("*").alias("copies"), F.min("doc_id").alias("rep"))
-    classes = store.written(spark, classes.withColumn("t", F.monotonically_increasing_id()), "texts")
-    # one text of each class: its smallest identifier's
-    single = texts.join(classes.select("sha", "t", "copies", "rep"), "sha").where(F.col("doc_id").eqNullSafe(F.col("rep")))
-    single = store.written(spark, single.select("t", "copies", "data"), "singles")
-
-    anchors = store.written(spark, _anchors(single), "units")
-    same = anchors.groupBy("h", "uf").agg(F.count("*").alias("c"), F.min("aid").alias("first"))
-    same = store.written(spark, same, "same")
-    cores = same.groupBy("h").agg(F.sum("c").alias("n"), F.count("*").alias("kinds")).where("n > 1")
-    flagged = store.written(spark, same.join(cores.select(F.col("h").alias("core"), "kinds"), F.col("h") == F.col("core")).select(F.col("h").alias("fh"), F.col("uf").alias("fuf"), "c", "first", "kinds"), "flagged")
-    store.dropped(spark, same)
-    found = anchors.join(flagged, (F.col("h") == F.col("fh")) & (F.col("uf") == F.col("fuf")))
-    found = found.select("t", "lo", "hi", (F.col("c") > 1).alias("whole"), ((F.col("kinds") > 1) & (F.col("aid") == F.col("first"))).alias("each"))
-    lists = found.groupBy("t").agg(F.collect_list(F.struct("lo", "hi", "whole", "each")).alias("units"))
-    lists = store.written(spark, lists, "lists")
-    store.dropped(spark, anchors, flagged)
-    rows = store.written(spark, single.select("t", "data").join(lists, "t").select("t", "data", "units").mapInArrow(_unit_bytes, "x long, t long, lo long, n long, whole boolean, each boolean, u binary"), "rows")
-    store.dropped(spark, lists, single)
-
-    windows = store.written(spark, rows.where("each").select("x", "n", "u").mapInArrow(_window_hashes, "wf long, at long"), "windows")
-    twice = store.written(spark, windows.groupBy("wf").agg(F.count("*").alias("c")).where("c > 1").select(F.col("wf").alias("twice")), "twice")
-    places = windows.join(twice, F.col("wf") == F.col("twice")).select(F.shiftright("at", 8).alias("at_x"), F.col("at").bitwiseAND(F.lit(255)).cast("int").alias("i"))
-    places = store.written(spark, places.groupBy("at_x").agg(F.collect_list("i").alias("places")), "places")
-    store.dropped(spark, windows, twice)
-    each = rows.where("each").join(places, F.col("x") == F.col("at_x")).select("t", "lo", "n", "u", "places")
-    whole = rows.where("whole").select("t", "lo", "n", "u", F.lit(None).cast("array<int>").alias("places"))
-    n_whole, size_whole = rows.where("whole").agg(F.count("*"), F.coalesce(F.sum(F.octet_length("u")), F.lit(0))).first()
-    n_each = places.agg(F.coalesce(F.sum(F.size("places")), F.lit(0))).first()[0]
-    parts = lcp_sort.ranges_for(spark, size_whole + n_each * LENGTH)
-    rate = max(1, (n_whole + n_each) // (parts * 40))
-    some = rows.where("whole OR each").where(F.pmod(F.xxhash64("x"), F.lit(max(1, rate // 8))) == 0)
-    some = some.select(F.expr(f"CASE WHEN whole THEN u ELSE substring(u, cast(pmod(xxhash64(x, 1), n) + 1 AS int), {LENGTH}) END AS s"))
-    sample = [r.s for r in some.limit(parts * 400).collect()]  # short strings, a number of them for each range
-    spans = lcp_sort.repeated(whole.union(each).mapInArrow(_strings, "s binary, t long, lo long, n long"), sample, parts).groupBy("t").agg(F.collect_list(F.struct("lo", "n")).alias("spans"))
-    out = classes.select("t", "sha", (F.col("copies") > 1).alias("whole")).join(spans, "t", "left").where("whole OR spans IS NOT NULL").select("sha", "whole", "spans")
-    out = store.written(spark, out, "repeats")
-    store.dropped(spark, rows, places)
-    return out
-
-
-def _anchors(single: DataFrame) -> DataFrame:
-    """h, uf, aid, t, lo, hi of the units of every text."""
+    return [pa.array([a.tobytes()], pa.binary()) for a in arrays]
+
+
+def repeated_keys(groups: DataFrame) -> DataFrame:
+    """g, found: for each row (g, keys: 64-bit keys as binary) those of its keys that occur twice or more in the table.
+
+    A group sends its different keys, sorted, to ranges of the keys, so a key that very many have is sent once by each
+    group; a range answers each group.
+    """
+    spark = groups.sparkSession
+    size = groups.agg(F.coalesce(F.sum(F.octet_length("keys")), F.lit(0))).first()[0]
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // RANGE_BYTES))
+
+    def ask(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        bounds = np.array([(i << 64) // parts for i in range(1, parts)], dtype=np.uint64)
+        for batch in batches:
+            for g, keys in zip(batch.column(0).to_pylist(), batch.column(1)):
+                keys, count = np.unique(np.frombuffer(keys.as_buffer(), dtype=np.uint64), return_counts=True)
+                at = [0, *np.searchsorted(keys, bounds).tolist(), len(keys)]
+                rows = [(part, g, keys[a:b].tobytes(), (count[a:b] > 1).tobytes()) for part, (a, b) in enumerate(zip(at, at[1:])) if b > a]
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.int32(), pa.int64(), pa.binary(), pa.binary()))], names=["part", "g", "keys", "twice"])
+
+    def answer(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        asked, twice = [], []
+        for batch in batches:
+            for g, keys, many in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+                keys = np.frombuffer(keys, dtype=np.uint64)
+                asked.append((g, keys))
+                twice.append(keys[np.frombuffer(many, dtype=bool)])
+        if not asked:
+            return
+        every = np.sort(np.concatenate([keys for _, keys in asked]))
+        twice = np.unique(np.concatenate([*twice, every[1:][every[1:] == every[:-1]]]))
+        del every
+        for g, keys in asked:
+            if len(keys := keys[_member(keys, twice)]):
+                yield pa.RecordBatch.from_arrays([pa.array([g], pa.int64()), *_bytes(keys)], names=["g", "found"])
+        tokens.tidy()
+
+    answers = groups.select("g", "keys").mapInArrow(ask, "part int, g long, keys binary, twice binary").repartition(parts, "part").mapInArrow(answer, "g long, found binary")
+    return answers.groupBy("g").agg(F.collect_list("found").alias("found"))
+
+
+def _unit_groups(segment: int, mask: int):
+    """Rows (t, data) to groups of units: g, keys (hashes of the cores), and the units' t, lo, n, fingerprint."""
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
         from pyspark import TaskContext
 
-        aid = TaskContext.get().partitionId() << 40
-        names = ["h", "uf", "aid", "t", "lo", "hi"]
+        g, held, size = TaskContext.get().partitionId() << 32, [], 0
+
+        def flush():
+            t, lo, n, h, uf = (np.concatenate(c) for c in zip(*held))
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array([g], pa.int64()), *_bytes(h, t, lo.astype(np.int64), n.astype(np.uint8), uf & np.uint64(mask))], names=["g", "keys", "t", "lo", "n", "uf"])
+
         for batch in batches:
-            columns, size = [], 0
-            for t, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                lo, hi, h, uf = units(data)
-                columns.append((h.view(np.int64), uf.view(np.int64), aid + np.arange(len(lo)), np.full(len(lo), t, dtype=np.int64), lo, hi))
-                aid += len(lo)
+            for t, data in zip(batch.column(0).to_pylist(), batch.column(1)):
+                lo, hi, h, uf = units(data.as_buffer(), segment)
+                held.append((np.full(len(lo), t, dtype=np.int64), lo, hi - lo + 1, h, uf))
                 size += len(lo)
-                if size > 200_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*columns)], names=names)
-                    columns, size = [], 0
-            if columns:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*columns)], names=names)
+                if size >= GROUP:
+                    yield flush()
+                    g, size = g + 1, 0
+        if held:
+            yield flush()
+        tokens.tidy()
 
-    return single.select("t", "data").mapInArrow(run, "h long, uf long, aid long, t long, lo long, hi long")
+    return run
 
 
-def _cut(docs: DataFrame, id_col: str, text_col: str, carry: list[str], make, names: list[str], schema: str) -> DataFrame:
-    """``make(data, spans)`` for every document, beside the columns of ``carry``."""
-    spark = docs.sparkSession
-    store.importable(spark)
-    known = repeats(docs, id_col, text_col).withColumnRenamed("sha", "_known")
-    data = F.encode(F.coalesce(F.col(text_col).cast("string"), F.lit("")), "UTF-8")
-    rows = docs.select(data.alias("_data"), *[F.col(c) for c in carry]).withColumn("_sha", F.unhex(F.sha1("_data")))
-    rows = rows.join(known, F.col("_sha") == F.col("_known"), "left").select("_data", "whole", "spans", *carry)
+def _candidates(batches):
+    """Groups with the cores that were found to the units that have one: h, uf, t, lo, n."""
+    import numpy as np
+    import pyarrow as pa
+
+    for batch in batches:
+        for keys, t, lo, n, uf, found in zip(*(batch.column(c).to_pylist() for c in ("keys", "t", "lo", "n", "uf", "found"))):
+            h = np.frombuffer(keys, dtype=np.int64)
+            some = _member(h.view(np.uint64), np.sort(np.frombuffer(b"".join(found), dtype=np.uint64)))
+            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(x, dtype=k)[some].astype(np.int64)) for x, k in ((keys, np.int64), (uf, np.int64), (t, np.int64), (lo, np.int64), (n, np.uint8))], names=["h", "uf", "t", "lo", "n"])
+
+
+#: A unit of a text as one number: start, number of strings, whether it repeats as a whole, whether its strings are looked at one by one.
+def _packed(lo, n, whole, each):
+    return lo * 1024 + n * 4 + whole * 2 + each
+
+
+def _unpacked(packed):
+    import numpy as np
+
+    packed = np.asarray(packed, dtype=np.int64)
+    return packed >> 10, (packed >> 2) & 255, (packed & 2) > 0, (packed & 1) > 0
+
+
+_STRINGS = "s binary, t long, lo long, n long"
+
+
+def _strings_batch(s, t, lo, n):
+    import numpy as np
+    import pyarrow as pa
+
+    return pa.RecordBatch.from_arrays([pa.array(s, pa.binary()), *[pa.array(np.concatenate(x)) for x in (t, lo, n)]], names=["s", "t", "lo", "n"])
+
+
+def _cut_out(of):
+    """Rows (t, data, array) to strings: ``of`` makes starts and counts from the array."""
 
     def run(batches):
-        import pyarrow as pa
+        import numpy as np
 
+        s, t, los, ns = [], [], [], []
         for batch in batches:
-            out = []
-            for data, whole, spans in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                out.append(make(data, [(0, len(data))] if whole else union_of((s["lo"], s["n"]) for s in spans or [])))
-            columns = [pa.array(c) for c in zip(*out)] if out else []
-            if columns:
-                yield pa.RecordBatch.from_arrays([*batch.columns[3:], *columns], names=[*carry, *names])
+            for own, data, found in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                lo, n = of(found.values.to_numpy())
+                for a in range(0, len(lo), 50_000):
+                    part, count = lo[a : a + 50_000], n[a : a + 50_000]
+                    s += [data[i:j] for i, j in zip(part.tolist(), (part + count - 1 + LENGTH).tolist())]
+                    t.append(np.full(len(part), own, dtype=np.int64))
+                    los.append(part)
+                    ns.append(count)
+                    if len(s) >= 50_000:
+                        yield _strings_batch(s, t, los, ns)
+                        s, t, los, ns = [], [], [], []
+        if t:
+            yield _strings_batch(s, t, los, ns)
+
+    return run
+
+
+def _whole(packed):
+    lo, n, whole, _ = _unpacked(packed)
+    return lo[whole], n[whole]
+
+
+def _single(packed):
+    """Every string of every unit."""
+    import numpy as np
+
+    lo, n, _, _ = _unpacked(packed)
+    lo = _spread(lo, n)
+    return lo, np.ones(len(lo), dtype=np.int64)
+
+
+def _starts(starts):
+    import numpy as np
+
+    return np.sort(starts), np.ones(len(starts), dtype=np.int64)
+
+
+def _some(rate: int):
+    """About one unit in ``rate``."""
+
+    def of(packed):
+        import numpy as np
+
+        lo, n, _, _ = _unpacked(packed)
+        some = (lo * 0x9E3779B1 + packed * 0x85EBCA77 >> 16) % rate == 0
+        return lo[some], np.ones(int(some.sum()), dtype=np.int64)
+
+    return of
 
-    fields = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in carry)
-    return rows.mapInArrow(run, f"{fields}, {schema}")
 
+def _window_groups(mask: int):
+    """Rows (t, data, units) to groups of the strings to look at one by one: g, keys (fingerprints), and the units' t, lo, n."""
 
-def _left(data: bytes, spans: list[tuple[int, int]]) -> bytes:
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+        from pyspark import TaskContext
+
+        g, held, size = TaskContext.get().partitionId() << 32, [], 0
+
+        def flush():
+            t, lo, n, keys = (np.concatenate(c) for c in zip(*held))
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array([g], pa.int64()), *_bytes(keys & np.uint64(mask), t, lo, n)], names=["g", "keys", "t", "lo", "n"])
+
+        for batch in batches:
+            for own, data, found in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
+                lo, n, _, each = _unpacked(found.values.to_numpy())
+                lo, n = lo[each], n[each]
+                order = np.argsort(lo)
+                lo, n = lo[order], n[order]
+                text, i = np.frombuffer(data.as_buffer(), dtype=np.uint8), 0
+                while i < len(lo):  # units that lie within one segment
+                    j = int(np.searchsorted(lo, lo[i] + SEGMENT))
+                    p = prefix_hashes(text[lo[i] : lo[j - 1] + n[j - 1] + LENGTH])
+                    starts = _spread(lo[i:j] - lo[i], n[i:j])
+                    held.append((np.full(j - i, own, dtype=np.int64), lo[i:j], n[i:j], range_hash(p, starts, starts + LENGTH)))
+                    size += len(starts)
+                    i = j
+                    if size >= GROUP:
+                        yield flush()
+                        g, size = g + 1, 0
+        if held:
+            yield flush()
+        tokens.tidy()
+
+    return run
+
+
+def _window_candidates(batches):
+    """Groups with the fingerprints that were found to the strings that have one: wf, t, at, chosen (no such neighbour on one side)."""
+    import numpy as np
+    import pyarrow as pa
+
+    for batch in batches:
+        for keys, t, lo, n, found in zip(*(batch.column(c).to_pylist() for c in ("keys", "t", "lo", "n", "found"))):
+            keys, t, lo, n = np.frombuffer(keys, dtype=np.uint64), *(np.frombuffer(x, dtype=np.int64) for x in (t, lo, n))
+            some = _member(keys, np.sort(np.frombuffer(b"".join(found), dtype=np.uint64)))
+            first = np.zeros(len(keys) + 1, dtype=bool)
+            first[np.cumsum(n) - n] = True
+            first[-1] = True
+            before, after = np.append(False, some[:-1]) & ~first[:-1], np.append(some[1:], False) & ~first[1:]
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)[some]), pa.array(np.repeat(t, n)[some]), pa.array(_spread(lo, n)[some]), pa.array((~before | ~after)[some])], names=["wf", "t", "at", "chosen"])
+
+
+def _grouped(groups: DataFrame, make, schema: str) -> DataFrame:
+    """``make`` over the groups that have repeated keys, with these keys."""
+    found = repeated_keys(groups).withColumnRenamed("g", "of")
+    return groups.join(found, F.col("g") == F.col("of")).drop("g", "of").mapInArrow(make, schema)
+
+
+def repeats(single: DataFrame, segment: int = SEGMENT, bits: int = 64) -> DataFrame:
+    """t, spans (array of start * 256 + number of strings) of the texts (t, data) that have strings that occur elsewhere.
+
+    ``bits`` of the fingerprints of units and strings are used.
+    """
+    spark, mask = single.sparkSession, (1 << bits) - 1
+    groups = store.written(spark, single.mapInArrow(_unit_groups(segment, mask), "g long, keys binary, t binary, lo binary, n binary, uf binary"), "units")
+    found = store.written(spark, _grouped(groups, _candidates, "h long, uf long, t long, lo long, n long"), "candidates")
+    store.dropped(spark, groups)
+    kinds = store.written(spark, found.groupBy("h", "uf").agg(F.count("*").alias("c"), F.min(F.struct("t", "lo")).alias("first")), "kinds")
+    cores = kinds.groupBy(F.col("h").alias("core")).agg(F.count("*").alias("kinds"))
+    flagged = kinds.join(cores, F.col("h") == F.col("core")).select(F.col("h").alias("fh"), F.col("uf").alias("fuf"), "c", "first", "kinds")
+    flagged = store.written(spark, flagged, "flagged")
+    own = found.join(flagged, (F.col("h") == F.col("fh")) & (F.col("uf") == F.col("fuf")))
+    each = (F.col("kinds") > 1) & (F.col("t") == F.col("first.t")) & (F.col("lo") == F.col("first.lo"))
+    lists = own.groupBy("t").agg(F.collect_list(_packed(F.col("lo"), F.col("n"), (F.col("c") > 1).cast("long"), each.cast("long"))).alias("units")).withColumnRenamed("t", "at_t")
+    picked = store.written(spark, single.join(lists, F.col("t") == F.col("at_t")).select("t", "data", "units"), "picked")
+    store.dropped(spark, found, kinds, flagged)
+
+    windows = store.written(spark, picked.mapInArrow(_window_groups(mask), "g long, keys binary, t binary, lo binary, n binary"), "windows")
+    marked = store.written(spark, _grouped(windows, _window_candidates, "wf long, t long, at long, chosen boolean"), "marked")
+    store.dropped(spark, windows)
+    place = F.struct("t", "at")
+    others = marked.groupBy("wf").agg(F.max("chosen").alias("chosen"), F.min(place).alias("a"), F.max(place).alias("b")).where("chosen").select(F.explode(F.array("a", "b")).alias("p")).select("p.t", "p.at")
+    wanted = marked.where("chosen").select("t", "at").union(others).distinct()
+    wanted = store.written(spark, wanted.groupBy(F.col("t").alias("at_t")).agg(F.collect_list("at").alias("starts")), "wanted")
+    store.dropped(spark, marked)
+    whole = F.filter("units", lambda u: u.bitwiseAND(F.lit(2)) > 0)
+    n_units, n_whole = picked.agg(F.coalesce(F.sum(F.size("units")), F.lit(0)), F.coalesce(F.sum(F.size(whole)), F.lit(0))).first()
+    n_wanted = wanted.agg(F.coalesce(F.sum(F.size("starts")), F.lit(0))).first()[0]
+    strings = picked.mapInArrow(_cut_out(_whole), _STRINGS).union(picked.join(wanted, F.col("t") == F.col("at_t")).select("t", "data", "starts").mapInArrow(_cut_out(_starts), _STRINGS))
+    told = _sorted(picked, strings, n_units, n_whole + n_wanted)
+    if told.count() < n_whole + n_wanted:  # fingerprints that are equal by chance
+        store.dropped(spark, told)
+        told = _sorted(picked, picked.mapInArrow(_cut_out(_single), _STRINGS), n_units, n_units * (LENGTH - CORE))
+    spans = store.written(spark, told.groupBy("t").agg(F.collect_list(F.col("lo") * 256 + F.col("n")).alias("spans")), "repeats")
+    store.dropped(spark, picked, wanted, told)
+    return spans
+
+
+def _sorted(picked: DataFrame, strings: DataFrame, n_units: int, n_strings: int) -> DataFrame:
+    """t, lo, n of the ``strings`` that occur twice or more; the cut points come from a sample of the units of ``picked``."""
+    spark = picked.sparkSession
+    ranges, parts = lcp_sort.ranges_for(spark, n_strings * (LENGTH + (LENGTH - CORE) // 2))
+    some = picked.mapInArrow(_cut_out(_some(max(1, n_units // (ranges * 40)))), _STRINGS)
+    sample = [r.s for r in some.select(F.substring("s", 1, 48).alias("s")).limit(ranges * 100).collect()]  # of bounded number and length
+    return store.written(spark, lcp_sort.repeated(strings, sample, ranges, parts, LENGTH), "confirmed")
+
+
+def _left(data: bytes, starts, ends) -> bytes:
     at, parts = 0, []
-    for a, b in spans:
+    for a, b in zip(starts, ends):
         parts.append(data[at:a])
         at = b
     return b"".join([*parts, data[at:]])
 
 
-def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _cut(docs: DataFrame, text_col: str, carry: list[str], make, types: str, options: dict) -> DataFrame:
+    """``make(data, starts, ends)`` for every document, as columns m0, m1, .., beside the columns of ``carry`` as k0, k1, .."""
+    spark = docs.sparkSession
+    store.importable(spark)
+    data = F.encode(F.coalesce(store.column(text_col).cast("string"), F.lit("")), "UTF-8")
+    names = [f"k{i}" for i in range(len(carry))]
+    rows = docs.select(F.monotonically_increasing_id().alias("t"), data.alias("data"), *[store.column(c).alias(k) for c, k in zip(carry, names)])
+    rows = store.written(spark, rows.withColumn("sha", F.unhex(F.sha2("data", 256))), "texts")
+    copied = rows.where(F.octet_length("data") >= LENGTH).groupBy(F.col("sha").alias("copied")).agg(F.count("*").alias("copies"), F.min("t").alias("first")).where("copies > 1").select("copied", "first")
+    copied = store.written(spark, copied, "copied")
+    if copied.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST:
+        copied = F.broadcast(copied)
+    single = rows.where(F.octet_length("data") >= LENGTH).select("t", "data", "sha").join(copied, F.col("sha") == F.col("copied"), "left").where("first IS NULL OR first = t").select("t", "data")
+    known = repeats(single, **options).withColumnRenamed("t", "of")
+    joined = rows.join(copied, (F.col("sha") == F.col("copied")) & (F.octet_length("data") >= LENGTH), "left").join(known, F.col("t") == F.col("of"), "left")
+    joined = joined.select("data", F.col("copied").isNotNull().alias("whole"), "spans", *names)
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            out = []
+            for data, whole, spans in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                if whole:
+                    out.append(make(data, [0], [len(data)]))
+                elif spans.is_valid:
+                    packed = spans.values.to_numpy()
+                    out.append(make(data, *(x.tolist() for x in union_of(packed >> 8, packed & 255))))
+                else:
+                    out.append(make(data, [], []))
+            if out:
+                columns = [pa.array(c) for c in zip(*out)]
+                yield pa.RecordBatch.from_arrays([*batch.columns[3:], *columns], names=[*names, *(f"m{i}" for i in range(len(columns)))])
+        tokens.tidy()
+
+    fields = [f"{k} {joined.schema[k].dataType.simpleString()}" for k in names]
+    return joined.mapInArrow(run, ", ".join([*fields, *(f"m{i} {kind}" for i, kind in enumerate(types.split()))]))
+
+
+def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every document."""
 
-    def make(data, spans):
+    def make(data, starts, ends):
         import hashlib
 
-        return len(data), sum(b - a for a, b in spans), len(spans), hashlib.sha256(_left(data, spans)).hexdigest()
+        return len(data), sum(ends) - sum(starts), len(starts), hashlib.sha256(_left(data, starts, ends)).hexdigest()
 
-    named = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return _cut(named, "doc_id", "text", ["doc_id"], make, ["n_bytes", "n_removed", "n_spans", "kept_sha256"], "n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return _cut(docs, text_col, [id_col], make, "long long long string", options).toDF("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
-def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The documents, their columns in order, with the text left over; characters that a cut splits are dropped."""
 
-    def make(data, spans):
-        return (_left(data, spans).decode("utf-8", "ignore"),)
+    def make(data, starts, ends):
+        return (_left(data, starts, ends).decode("utf-8", "ignore"),)
 
     carry = [c for c in docs.columns if c != text_col]
-    return _cut(docs, id_col, text_col, carry, make, ["_left"], "`_left` string").withColumnRenamed("_left", text_col).select(*docs.columns)
+    cut = _cut(docs, text_col, carry, make, "string", options)
+    place = {c: f"k{i}" for i, c in enumerate(carry)} | {text_col: "m0"}
+    return cut.select(*[F.col(place[c]).alias(c) for c in docs.columns])
