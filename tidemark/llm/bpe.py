@@ -143,7 +143,7 @@ def _over(docs: DataFrame, tokenizer: str, id_col: str, text_col: str, make, nam
                 columns = [pa.array(c) for c in zip(*rows)]
                 yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["doc_id", *names])
 
-    chosen = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    chosen = docs.select(store.column(id_col).alias("doc_id"), store.column(text_col).cast("string").alias("text"))
     kind = chosen.schema["doc_id"].dataType.simpleString()
     return chosen.mapInArrow(run, f"doc_id {kind}, {schema}")
 

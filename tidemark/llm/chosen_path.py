@@ -34,11 +34,12 @@ from pyspark.sql import functions as F
 from . import shingles, store
 from .components import components
 
-LIMIT, DEPTH, BLOCK = 200, 5, 128
+LIMIT, DEPTH, BLOCK = 1000, 5, 128
 #: Agreeing minima of 64 that make a candidate (at similarity 0.8: 51.2 expected, 3.2 the deviation), and that retire a set.
 CANDIDATE, RETIRE = 36, 58
-#: Classes in candidate groups up to which the list of them is broadcast to where the texts lie; beyond, texts are shuffled.
-MOST_BROADCAST = 500_000
+#: Classes in candidate groups (some 100 bytes each) up to which the list of them is broadcast to where the texts lie;
+#: beyond, texts are shuffled.
+MOST_BROADCAST = 200_000
 
 
 def survival(similarity: float, depth: int) -> float:
@@ -188,8 +189,8 @@ def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 sigs.append(own.minima(s).tobytes() if len(s) else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps, pa.binary()), pa.array(ns, pa.int64()), pa.array(sigs, pa.binary())], names=["doc_id", "th", "fp", "n", "sig"])
 
-    text = F.col(text_col).cast("string")
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text")).mapInArrow(run, "doc_id long, th long, fp binary, n long, sig binary")
+    text = store.column(text_col).cast("string")
+    return docs.select(store.column(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text")).mapInArrow(run, "doc_id long, th long, fp binary, n long, sig binary")
 
 
 def candidate_edges(classes: DataFrame, runs: int) -> DataFrame:
@@ -303,8 +304,8 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             keep = [hashlib.blake2b(s, digest_size=16).digest() == fp for s, fp in zip(sets, batch.column(4).to_pylist())]
             yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(sets, pa.binary())], names=["c", "component", "blocks", "copies", "set"]).filter(pa.array(keep))
 
-    text = F.col(text_col).cast("string")
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("h"), text.alias("text"))
+    text = store.column(text_col).cast("string")
+    texts = docs.select(store.column(id_col).cast("long").alias("id"), F.xxhash64(text).alias("h"), text.alias("text"))
     listed = F.broadcast(members) if members.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST else members
     found = listed.join(texts, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("th") == F.col("h"))).select("c", "component", "blocks", "copies", "fp", "text")
     sets = found.mapInArrow(whole_sets, "c long, component long, blocks long, copies long, set binary")
@@ -333,7 +334,10 @@ def first_of_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     verdicts = jaccard_join(docs, id_col, text_col, **options)
     kept = verdicts.where("kept").groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_h")).agg((F.count("*") > 1).alias("_repeated"))
     kept = store.written(docs.sparkSession, kept, "kept")
-    marked = docs.withColumn("_th", F.xxhash64(F.col(text_col).cast("string"))).withColumn("_own", F.col(id_col).cast("long"))
-    rows = marked.join(kept, F.col("_own").eqNullSafe(F.col("_id")) & (F.col("_th") == F.col("_h"))).drop("_id", "_h")
-    once = rows.where("_repeated").dropDuplicates(["_own", "_th"])  # repeated rows only: one of them stays
-    return rows.where("NOT _repeated").union(once).select(*docs.columns)
+    names = [f"k{i}" for i in range(len(docs.columns))]
+    text = store.column(text_col).cast("string")
+    marked = docs.select(F.xxhash64(text).alias("th"), store.column(id_col).cast("long").alias("own"), *[store.column(c).alias(k) for c, k in zip(docs.columns, names)])
+    rows = marked.join(kept, F.col("own").eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_h")))
+    once = rows.where("_repeated").dropDuplicates(["own", "th"])  # repeated rows only: one of them stays
+    rows = rows.where("NOT _repeated").union(once)
+    return rows.select(*[F.col(k).alias(c) for c, k in zip(docs.columns, names)])

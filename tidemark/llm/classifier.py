@@ -121,16 +121,16 @@ def train(examples, epochs: int = EPOCHS):
 
 def remainder(id_col: str) -> Column:
     """crc32 of the identifier as text, modulo 4."""
-    return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % 4
+    return F.crc32(F.coalesce(store.column(id_col).cast("string"), F.lit("")).cast("binary")) % 4
 
 
 def fitted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE) -> bytes:
     """Weights as 32-bit floats, from at most ``sample`` labelled documents outside the held-out quarter."""
     store.importable(docs.sparkSession)
-    known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & (remainder(id_col) != 2)).groupBy(F.col(id_col).alias("doc_id")).agg(F.max(label_col).cast("int").alias("label"))
+    known = labels.where(store.column(label_col).isNotNull() & store.column(id_col).isNotNull() & (remainder(id_col) != 2)).groupBy(store.column(id_col).alias("doc_id")).agg(F.max(store.column(label_col)).cast("int").alias("label"))
     order = F.xxhash64("doc_id")
     chosen = F.broadcast(known.orderBy(order, "doc_id").limit(sample))  # at most ``sample`` rows of two numbers
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).join(chosen, "doc_id")
+    rows = docs.select(store.column(id_col).alias("doc_id"), store.column(text_col).cast("string").alias("text")).join(chosen, "doc_id")
     bounded = rows.withColumn("o", order).orderBy("o", "doc_id", F.xxhash64("text")).limit(sample)  # repeated rows of a document count too
 
     def fit(batches):
@@ -150,7 +150,7 @@ def fitted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def scored(docs: DataFrame, weights: bytes, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
-    """doc_id (or the columns of ``carry``) and score of every document."""
+    """The identifier (or the columns of ``carry``) and the score of every document."""
     spark = docs.sparkSession
     store.importable(spark)
     shared = spark.sparkContext.broadcast(weights)
@@ -166,9 +166,10 @@ def scored(docs: DataFrame, weights: bytes, id_col: str = "doc_id", text_col: st
         tokens.tidy()
 
     carry = carry or [id_col]
-    chosen = docs.select(F.col(text_col).cast("string").alias("_text"), *[F.col(c) for c in carry])
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema.fields[1:])
-    return chosen.mapInArrow(run, f"{fields}, score double")
+    names = [f"k{i}" for i in range(len(carry))]
+    chosen = docs.select(store.column(text_col).cast("string").alias("text"), *[store.column(c).alias(k) for c, k in zip(carry, names)])
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in chosen.schema.fields[1:])
+    return chosen.mapInArrow(run, f"{fields}, score double").toDF(*carry, "score")
 
 
 def classified(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -17,6 +17,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import store
+
 #: Spellings that count as one (applied in this order, in lower case).
 SPELLINGS = [
     ("licence", "license"), ("licenced", "licensed"), ("sublicence", "sublicense"), ("organisation", "organization"), ("authoris", "authoriz"),
@@ -83,8 +85,8 @@ def scanned(docs: DataFrame, known: DataFrame | None = None, id_col: str = "doc_
     listed = known.select("license_id", F.sha2(flat(canonical(F.col("text"))), 256).alias("known")).groupBy("known").agg(F.min("license_id").alias("license_id"))
     if known.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST:
         listed = F.broadcast(listed)
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), canonical(text).alias("text"))
+    text = F.coalesce(store.column(text_col).cast("string"), F.lit(""))
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), store.column(id_col).alias("doc_id"), canonical(text).alias("text"))
     whole = rows.select("row", "doc_id", F.split("text", "\n", -1).alias("lines"), flat(F.col("text")).alias("flat"))
     whole = whole.select("row", "doc_id", "lines", F.sha2("flat", 256).alias("digest"), (F.col("flat") != "").alias("some"))
     lines = whole.select("row", "doc_id", "digest", "some", F.explode("lines").alias("line")).withColumn("line", F.btrim("line"))

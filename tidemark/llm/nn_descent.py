@@ -70,7 +70,7 @@ def rows_of(vectors: DataFrame, id_col: str, vector_col: str, label_col: str) ->
                 fps.append(None if v is None else hashlib.blake2b(data, digest_size=16, key=hashlib.blake2b(space.encode(), digest_size=32).digest()).digest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(spaces, pa.string()), pa.array(fps, pa.binary()), pa.array(vs, pa.binary())], names=["vec_id", "space", "fp", "v"])
 
-    chosen = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).cast("string").alias("label"), F.col(vector_col).cast("array<double>").alias("vector"))
+    chosen = vectors.select(store.column(id_col).cast("long").alias("vec_id"), store.column(label_col).cast("string").alias("label"), store.column(vector_col).cast("array<double>").alias("vector"))
     return chosen.mapInArrow(run, "vec_id long, space string, fp binary, v binary")
 
 

@@ -39,7 +39,7 @@ def encoded(docs: DataFrame, tokenizer: str, id_col: str, text_col: str, end_id:
                 )
         tokens.tidy()
 
-    chosen = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    chosen = docs.select(store.column(id_col).alias("doc_id"), store.column(text_col).cast("string").alias("text"))
     kind = chosen.schema["doc_id"].dataType.simpleString()
     return chosen.mapInArrow(run, f"part int, start_in_part long, doc_id {kind}, n_tokens long, ids binary")
 

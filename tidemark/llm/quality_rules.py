@@ -16,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import store
+
 WHITE = " \t\n\x0b\x0c\r"
 SPACES = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]"
@@ -55,9 +57,9 @@ def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ca
 
     Each step is a projection of its own so that arrays are built once.
     """
-    kept = [F.struct(*[F.col(c) for c in carry]).alias("_row")] if carry else []
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    own = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), *kept)
+    kept = [F.struct(*[store.column(c) for c in carry]).alias("_row")] if carry else []
+    text = F.coalesce(store.column(text_col).cast("string"), F.lit(""))
+    own = docs.select(store.column(id_col).alias("doc_id"), text.alias("text"), *kept)
     also = ["_row"] if carry else []
     bare = F.col("text")
     for c in WHITE:

@@ -208,7 +208,7 @@ def write_shards(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
             row = [task.partitionId(), name, writer.n_docs, writer.n_tokens, writer.at]
             yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, (pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int64()))], names=["shard", "path", "n_docs", "n_tokens", "n_bytes"])
 
-    chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    chosen = docs.select(store.column(id_col).cast("long").alias("doc_id"), store.column(text_col).cast("string").alias("text"))
     # equal identifiers may fall on two shards; the text's hash keeps a repeated one from filling a single task
     ranged = chosen.withColumn("h", F.xxhash64("text")).repartitionByRange(F.col("doc_id").asc_nulls_first(), F.col("h"))
     ordered = ranged.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.col("h")).select("doc_id", "text")

@@ -69,8 +69,8 @@ def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
     spark = pages.sparkSession
     store.importable(spark)
     path = path or store.new_dir(spark, "warc")
-    payload = F.encode(F.coalesce(F.col(html_col).cast("string"), F.lit("")), "UTF-8")
-    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), payload.alias("payload")).withColumn("sha1", F.sha1("payload"))
+    payload = F.encode(F.coalesce(store.column(html_col).cast("string"), F.lit("")), "UTF-8")
+    rows = pages.select(store.column(id_col).cast("long").alias("page_id"), store.column(url_col).cast("string").alias("url"), payload.alias("payload")).withColumn("sha1", F.sha1("payload"))
     repeated = (
         rows.where(F.octet_length("payload") >= min_bytes).groupBy("sha1")
         .agg(F.count("*").alias("n"), F.max("page_id").alias("keep_id"), F.max_by("url", "page_id").alias("keep_url"))
