@@ -53,14 +53,24 @@ def normalized(windows: DataFrame, plan: Plan) -> DataFrame:
 
 
 _SAME = [*SCOPE, "source", "side", "selector"]
+_IDENTITY = [*GROUP, "source", "side", "selector", "range_start", "range_end", "provisional"]
 
 
 def deduplicated(rows: DataFrame) -> DataFrame:
-    """The first of the rows that agree in everything but their identifier."""
-    own = Window.partitionBy(*_SAME, F.to_json("tags"), "range_start", "range_end").orderBy("record_id")
+    """One of the rows that agree in selector, window, key, source, partition, range and whether the end is provisional.
+
+    Segments and tags do not make rows different; of rows that do agree the first context and identifier stays.
+    """
+    own = Window.partitionBy(*_IDENTITY).orderBy("segment_key", F.to_json("tags"), "record_id")
     return rows.withColumn("_k", F.row_number().over(own)).where("_k = 1").drop("_k")
 
 
+def duplicate_diagnostics(rows: DataFrame) -> DataFrame:
+    """code, severity, path, message: a warning for each group of rows that ``deduplicated`` makes one."""
+    twice = rows.groupBy(*_IDENTITY).agg(F.count("*").alias("n"), F.min("record_id").alias("id")).where("n > 1")
+    return twice.select(F.lit("duplicate_window").alias("code"), F.lit("Warning").alias("severity"), F.concat(F.lit("window["), "id", F.lit("]")).alias("path"), F.concat(F.col("n").cast("string"), F.lit(" windows are alike")).alias("message"))
+
+
 def coalesced(rows: DataFrame) -> DataFrame:
     """Rows that meet end to start, merged; their identifiers are concatenated."""
     own = Window.partitionBy(*_SAME, "_tags").orderBy("range_start", "range_end", "record_id")

@@ -50,6 +50,14 @@ def hierarchy(windows: DataFrame, parent: str, child: str) -> DataFrame:
     return seg.select(kind.alias("kind"), F.col("lane").alias("source"), "partition", "range_start", "range_end", sorted_ids("targets").alias("parent_ids"), sorted_ids("againsts").alias("child_ids"))
 
 
+def hierarchy_diagnostics(windows: DataFrame, parent: str, child: str) -> DataFrame:
+    """code, severity, path, message: a warning for each side of a hierarchy that has no windows at all."""
+    there = windows.agg(F.count_if(F.col("window_name") == parent).alias("p"), F.count_if(F.col("window_name") == child).alias("c"))
+    side = lambda n, path, what: F.struct((F.col(n) == 0).alias("none"), F.lit(path).alias("path"), F.lit(f"no {what} windows").alias("message"))
+    rows = there.select(F.inline(F.array(side("p", "parentWindowName", "parent"), side("c", "childWindowName", "child contribution"))))
+    return rows.where("none").select(F.lit("MissingLineage").alias("code"), F.lit("Warning").alias("severity"), "path", "message")
+
+
 def changelog(previous: DataFrame, current: DataFrame) -> DataFrame:
     """Entries that turn the finality rows ``previous`` into ``current``: row_type, row_id, version, finality, supersedes, reason."""
     p, c = previous.alias("p"), current.alias("c")

@@ -81,16 +81,15 @@ SEGMENT_ROWS = {"overlap": overlap, "residual": residual, "missing": missing, "c
 def _around(rows: DataFrame, target_point: str, against_point: str, tie: str) -> DataFrame:
     """Targets with the nearest against group at or before (``before``) and at or after (``after``) their point.
 
-    One union and one sort by (window, key, partition, point) instead of a join of every pair.
+    One union, one shuffle by (window, key, partition) and a sort by the point each way, instead of a join of every pair.
     """
     t = rows.where(f"side = 'Target' AND {target_point} IS NOT NULL").select(*GROUP, F.col(target_point).alias("at"), F.struct("record_id", "provisional").alias("t"), F.lit(None).cast("struct<at:bigint,n:bigint,id:string,provisional:boolean>").alias("a"))
     first = F.min(F.struct("record_id", "provisional")) if tie == "id" else F.min_by(F.struct("record_id", "provisional"), F.struct("source", "range_start", "range_end", "record_id"))
     a = rows.where(f"side = 'Against' AND {against_point} IS NOT NULL").groupBy(*GROUP, F.col(against_point).alias("at")).agg(F.count("*").alias("n"), first.alias("f"))
     a = a.select(*GROUP, "at", F.lit(None).cast("struct<record_id:string,provisional:boolean>").alias("t"), F.struct("at", "n", F.col("f.record_id").alias("id"), F.col("f.provisional").alias("provisional")).alias("a"))
-    own = Window.partitionBy(*GROUP).orderBy("at")
-    both = t.union(a).withColumns({
-        "before": F.last("a", ignorenulls=True).over(own.rangeBetween(Window.unboundedPreceding, 0)), "after": F.first("a", ignorenulls=True).over(own.rangeBetween(0, Window.unboundedFollowing)),
-    })
+    # running values, each in its own order: a frame up to the end would be evaluated anew for every row
+    upto = lambda order: F.last("a", ignorenulls=True).over(Window.partitionBy(*GROUP).orderBy(order).rangeBetween(Window.unboundedPreceding, 0))
+    both = t.union(a).withColumns({"before": upto(F.col("at")), "after": upto(F.col("at").desc())})
     return both.where("t IS NOT NULL")
 
 
@@ -144,15 +143,44 @@ def as_of(rows: DataFrame, d: Declaration) -> DataFrame:
 
 
 def cohort_evidence(seg: DataFrame, plan: Plan) -> DataFrame:
-    """The rule, required and active counts and active sources of each segment with a target."""
+    """The rule, required and active counts and active sources of each segment with a window of either side."""
     sources, activity = plan.cohort()
     active = F.sort_array(F.array_distinct(F.transform("againsts", lambda a: a["source"])))
-    rows = seg.where(_has("targets")).withColumn("sources", active)
+    rows = seg.where(_has("targets") | _has("againsts")).withColumn("sources", active)
     rows = rows.select(*ROWS, F.lit(str(activity)).alias("rule"), F.lit(activity.required(len(sources))).cast("long").alias("required"), F.size("sources").cast("long").alias("active_count"), activity.holds(F.size("sources"), len(sources)).alias("is_active"), F.array_join("sources", ",").alias("active_sources"))
     text = F.concat(F.lit("rule="), "rule", F.lit("; required="), F.col("required").cast("string"), F.lit("; activeCount="), F.col("active_count").cast("string"), F.lit("; isActive="), F.col("is_active").cast("string"), F.lit("; activeSources="), "active_sources")
     return rows.withColumn("evidence", text)
 
 
+def row_counts(seg: DataFrame, plan: Plan, names: list[str]) -> DataFrame:
+    """comparator, row_count of the families that follow from each segment by itself, in one pass over the segments."""
+    t, a, active = _has("targets"), _has("againsts"), active_against(plan)
+    rows = {
+        "overlap": t & active, "residual": t & ~active, "missing": ~t & active, "coverage": t, "symmetric-difference": (t & ~active) | (~t & active),
+        "containment": F.when(t & ~a, F.size("targets")).when(t, 1),
+    }
+    names = list(dict.fromkeys(names))
+    counts = seg.agg(*[F.coalesce(F.sum(rows[n].cast("long")), F.lit(0)).alias(n) for n in names])
+    return counts.select(F.inline(F.array(*[F.struct(F.lit(n).alias("comparator"), F.col(f"`{n}`").alias("row_count")) for n in names])))
+
+
+#: Families that ``row_counts`` counts.
+COUNTED = ("overlap", "residual", "missing", "coverage", "symmetric-difference", "containment")
+
+
+def as_of_diagnostics(rows: DataFrame) -> DataFrame:
+    """code, severity, path, message: a warning for each as-of row with several equally eligible matches."""
+    message = F.lit("several transitions are equally eligible; the match taken is deterministic")
+    return rows.where("status = 'Ambiguous'").select(F.lit("AmbiguousAsOfMatch").alias("code"), F.lit("Warning").alias("severity"), F.concat(F.lit("asof["), "target_id", F.lit("]")).alias("path"), message.alias("message"))
+
+
 def total_length(rows: DataFrame) -> int:
     """Positions, or microseconds, that range rows cover in all."""
     return rows.agg(F.coalesce(F.sum(F.col("range_end") - F.col("range_start")), F.lit(0))).first()[0]
+
+
+def total_magnitude(rows: DataFrame, which: str) -> float:
+    """The ``target`` or ``covered`` magnitude of coverage rows in all."""
+    if which not in ("target", "covered"):
+        raise ValueError(f"coverage rows have no {which} magnitude")
+    return rows.agg(F.coalesce(F.sum(f"{which}_magnitude"), F.lit(0.0))).first()[0]

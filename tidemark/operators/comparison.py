@@ -49,11 +49,22 @@ class Result:
         return self._built[declaration]
 
     def summary(self) -> DataFrame:
-        """comparator, row_count of every known comparator, in one job."""
-        out = None
+        """comparator, row_count of every known comparator; families of segments are counted in one pass."""
+        counted = [d.text for d in self.declarations if d.name in comparators.COUNTED]
+        out = comparators.row_counts(self.segments, self.plan, counted) if counted else None
         for d in self.declarations:
-            n = self.rows(d.text).agg(F.lit(d.text).alias("comparator"), F.count("*").alias("row_count"))
-            out = n if out is None else out.union(n)
+            if d.name not in comparators.COUNTED:
+                n = self.rows(d.text).agg(F.lit(d.text).alias("comparator"), F.count("*").alias("row_count"))
+                out = n if out is None else out.union(n)
+        return out
+
+    def row_diagnostics(self) -> DataFrame:
+        """code, severity, path, message of what only the rows tell: windows that are alike, ambiguous as-of matches."""
+        plain = replace(self.plan, normalization=replace(self.plan.normalization, duplicates="Preserve", coalesce_adjacent=False))
+        out = align.duplicate_diagnostics(align.normalized(self.windows, plain))
+        for d in self.declarations:
+            if d.name == "asof":
+                out = out.union(comparators.as_of_diagnostics(self.rows(d.text)))
         return out
 
     def coverage_summary(self) -> DataFrame:
@@ -128,6 +139,21 @@ class Builder:
     def strict(self) -> Builder:
         return replace(self, plan=replace(self.plan, strict=True))
 
+    def build(self) -> Plan:
+        """The plan as it stands, whether it can run or not."""
+        return self.plan
+
+    def validate(self) -> list[Diagnostic]:
+        """What is wrong with the plan by itself; no job is run."""
+        return self.plan.validate() + self.plan.criticise()
+
+    def prepare(self) -> DataFrame:
+        """The windows that the plan takes, normalised, one row for each side and selector."""
+        return align.normalized(self.windows, self.plan)
+
+    def prepare_live(self, horizon) -> DataFrame:
+        return self.normalize(open_policy="ClipToHorizon", horizon=horizon).prepare()
+
     def run(self) -> Result:
         return compare(self.windows, self.plan)
 

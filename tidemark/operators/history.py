@@ -154,8 +154,20 @@ def find_residuals(windows: DataFrame, source: str) -> DataFrame:
     top = F.max("end_position").over(by.rowsBetween(Window.unboundedPreceding, -1))
     islands = other.select(*SCOPE, "start_position", "end_position").withColumn("begins", (top.isNull() | (F.col("start_position") > top)).cast("int"))
     islands = islands.withColumn("island", F.sum("begins").over(by.rowsBetween(Window.unboundedPreceding, 0))).groupBy(*SCOPE, "island").agg(F.min("start_position").alias("i_start"), F.max("end_position").alias("i_end"))
-    t, i = target.alias("t"), islands.alias("i")
-    on = [F.col(f"t.{c}").eqNullSafe(F.col(f"i.{c}")) for c in SCOPE] + [F.col("i.i_start") < F.col("t.end_position"), F.col("t.start_position") < F.col("i.i_end")]
+    # islands lie one after the other, so those that a target meets have the numbers between two running values: the last
+    # island that ends by the target's start (excluded), and the last that starts before its end
+    own = ["record_id", "start_position", "end_position"]
+    none = [F.lit(None).cast(target.schema[c].dataType).alias(c) for c in own]
+    event = lambda at, turn, ended, begun, t_end, *ids: [F.col(at).alias("at"), F.lit(turn).alias("turn"), ended.alias("ended"), begun.alias("begun"), F.lit(t_end).alias("t_end"), *ids]
+    no, number = F.lit(None).cast("long"), F.col("island")
+    events = islands.select(*SCOPE, *event("i_end", 0, number, no, None, *none)).union(islands.select(*SCOPE, *event("i_start", 3, no, number, None, *none)))
+    events = events.union(target.select(*SCOPE, *event("end_position", 1, no, no, True, *own))).union(target.select(*SCOPE, *event("start_position", 2, no, no, False, *own)))
+    upto = Window.partitionBy(*SCOPE).orderBy("at", "turn").rowsBetween(Window.unboundedPreceding, 0)
+    events = events.withColumns({"ended": F.coalesce(F.last("ended", ignorenulls=True).over(upto), F.lit(0)), "begun": F.coalesce(F.last("begun", ignorenulls=True).over(upto), F.lit(0))})
+    met = events.where("t_end IS NOT NULL").groupBy(*SCOPE, *own).agg(F.max(F.when(~F.col("t_end"), F.col("ended"))).alias("lo"), F.max(F.when(F.col("t_end"), F.col("begun"))).alias("hi"))
+    met = met.withColumn("number", F.explode_outer(F.when(F.col("hi") > F.col("lo"), F.sequence(F.col("lo") + 1, F.col("hi")))))
+    t, i = met.alias("t"), islands.alias("i")
+    on = [F.col(f"t.{c}").eqNullSafe(F.col(f"i.{c}")) for c in SCOPE] + [F.col("t.number") == F.col("i.island")]
     hit = t.join(i, on, "left").groupBy("t.window_name", "t.key", "t.partition", "t.record_id", "t.start_position", "t.end_position").agg(F.sort_array(F.collect_list(F.when(F.col("i.i_start").isNotNull(), F.struct("i.i_start", "i.i_end")))).alias("cover"))
     starts = F.concat(F.array(F.col("start_position")), F.transform("cover", lambda c: c["i_end"]))
     ends = F.concat(F.transform("cover", lambda c: c["i_start"]), F.array(F.col("end_position")))

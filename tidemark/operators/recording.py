@@ -112,6 +112,24 @@ class WindowDefinition:
         return flat
 
 
+class TypedWindow:
+    """A window defined by a class: ``name``, ``key`` and ``active`` as Columns, and what a definition may have besides."""
+
+    name: str
+    segments: tuple[Segment, ...] = ()
+    tags: tuple[Tag, ...] = ()
+    roll_ups: tuple[RollUp, ...] = ()
+
+    def key(self) -> Column:
+        raise NotImplementedError
+
+    def active(self) -> Column:
+        raise NotImplementedError
+
+    def definition(self) -> WindowDefinition:
+        return WindowDefinition(self.name, self.key(), self.active(), self.segments, self.tags, self.roll_ups)
+
+
 @dataclass(frozen=True)
 class Pipeline:
     """Definitions over one event table; ``position`` is a unique, increasing column of it."""

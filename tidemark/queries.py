@@ -7,13 +7,15 @@ phase, tag type, roll-up parents 'p' || user_id % 5 and 'g' || user_id % 2; the
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators import align, analytics, comparators, history
+from .operators.comparison import Result, compare
 from .operators.recording import Pipeline, Projection, RollUp, Segment, Tag, WindowDefinition, all_active, any_active
-from .plans.comparison import Activity, Declaration, Normalization, Plan, Scope, Selector, as_of, lead_lag
+from .plans.comparison import Activity, Normalization, Plan, Scope, Selector, as_of, lead_lag
 
 NAME, TARGET, OTHERS = "HighValue", "lane-0", ("lane-1", "lane-2")
 
@@ -60,9 +62,13 @@ def _aligned(spark, sf_dir, against=None, **n):
     return align.aligned(align.normalized(windows(spark, sf_dir), p)), p
 
 
+def _result(spark, sf_dir, *comparators_, against=None) -> Result:
+    """The engine's own way: plan, validation, the error gate, then rows."""
+    return compare(windows(spark, sf_dir), replace(plan(spark, sf_dir, against), comparators=comparators_))
+
+
 def _rows(spark, sf_dir, name, against=None):
-    seg, p = _aligned(spark, sf_dir, against)
-    return comparators.SEGMENT_ROWS[name](seg, p)
+    return _result(spark, sf_dir, name, against=against).rows(name)
 
 
 # --- SQL pieces ------------------------------------------------------------------------------------------------
@@ -240,10 +246,10 @@ def snapshot_position(spark, d):
     return history.Query(windows(spark, d)).at((horizon(spark, d) - 1) // 2).windows().select("record_id", "range_start", "range_end", "finality")
 
 
-@query("WITH " + _sql_windows(timed=True) + """, h AS (SELECT ts AS h FROM events WHERE event_id = 5000) SELECT record_id, epoch_us(start_time) AS range_start, CASE WHEN end_time <= h THEN epoch_us(end_time) ELSE epoch_us(h) END AS range_end,
+@query("WITH " + _sql_windows(timed=True) + """, h AS (SELECT ts AS h FROM events WHERE event_id = (SELECT max(event_id) // 2 FROM events)) SELECT record_id, epoch_us(start_time) AS range_start, CASE WHEN end_time <= h THEN epoch_us(end_time) ELSE epoch_us(h) END AS range_end,
 CASE WHEN end_time <= h THEN 'Final' ELSE 'Provisional' END AS finality FROM w, h WHERE start_time <= h""")
 def snapshot_time(spark, d):
-    rows = events(spark, d).where("event_id = 5000").select(F.col("ts").cast("timestamp")).first()
+    rows = events(spark, d).where(F.col("event_id") == (horizon(spark, d) - 2) // 2).select(F.col("ts").cast("timestamp")).first()
     out = history.snapshot_at(windows(spark, d, timed=True), rows[0] if rows else None, "time")
     return out.select("record_id", F.unix_micros("range_start").alias("range_start"), F.unix_micros("range_end").alias("range_end"), "finality")
 
@@ -261,11 +267,11 @@ def summarize_tag(spark, d):
     return history.summarize(windows(spark, d, tags=True), "tags", "type")
 
 
-@query(W + """, a AS (SELECT *, 'note-' || (start_position % 2) AS name, start_position + 100 * (i - 1) AS known_at, i AS revision FROM w, range(1, 4) AS g(i) WHERE start_position % 5 = 0),
+@query(W + """, a AS (SELECT *, 'note-' || (start_position % 2) AS name, start_position + 100 * (i - 1) AS known_at, i AS revision FROM w, range(1, 4) AS g(i)),
 h AS (SELECT (max(event_id) + 1) // 2 AS h FROM events) SELECT record_id, name, known_at, revision FROM a, h WHERE known_at <= h""")
 def annotations_known_at(spark, d):
     rows = windows(spark, d)
-    notes = rows.where("start_position % 5 = 0").select(*history.START, F.concat(F.lit("note-"), F.col("start_position") % 2).alias("name"), F.explode(F.sequence(F.lit(1), F.lit(3))).alias("seq"))
+    notes = rows.select(*history.START, F.concat(F.lit("note-"), F.col("start_position") % 2).alias("name"), F.explode(F.sequence(F.lit(1), F.lit(3))).alias("seq"))
     notes = history.annotated(notes.withColumns({"value": F.col("seq").cast("string"), "known_at": F.col("start_position") + 100 * (F.col("seq") - 1)}))
     known = history.annotations_known_at(notes, (horizon(spark, d) - 1) // 2)
     return history.annotations_for(rows, known).select("record_id", "name", "known_at", F.col("revision").cast("long").alias("revision"))
@@ -409,7 +415,7 @@ _LL = ["key", "target_id", "target_point", "comparison_point", "delta", "directi
 
 
 def _lead_lag(spark, d, transition):
-    return comparators.lead_lag(align.normalized(windows(spark, d), plan(spark, d)), Declaration.parse(lead_lag(transition, 20)))
+    return _rows(spark, d, lead_lag(transition, 20))
 
 
 @query(_nearest_sql("s") + f" SELECT {', '.join(_LL)} FROM z")
@@ -443,8 +449,7 @@ CASE WHEN status IN ('Exact', 'Matched', 'Ambiguous') THEN id END AS matched_id
 
 
 def _asof(spark, d, direction):
-    rows = comparators.as_of(align.normalized(windows(spark, d), plan(spark, d)), Declaration.parse(as_of(direction, 30)))
-    return rows.select("key", "target_id", "target_point", "matched_point", "distance", "status", "matched_id")
+    return _rows(spark, d, as_of(direction, 30)).select("key", "target_id", "target_point", "matched_point", "distance", "status", "matched_id")
 
 
 @query(_asof_sql("Previous"))
@@ -462,33 +467,30 @@ def asof_nearest(spark, d):
     return _asof(spark, d, "Nearest")
 
 
+@query(_asof_sql("Nearest").rpartition("SELECT key, target_id")[0] + "SELECT 'AmbiguousAsOfMatch' AS code, 'asof[' || target_id || ']' AS path FROM z WHERE status = 'Ambiguous'")
+def asof_diagnostics(spark, d):
+    return _result(spark, d, as_of("Nearest", 30)).row_diagnostics().select("code", "path")
+
+
 _COUNTS = [("overlap", "n_t > 0 AND n_a > 0"), ("residual", "n_t > 0 AND n_a = 0"), ("missing", "n_t = 0 AND n_a > 0"), ("coverage", "n_t > 0")]
 
 
 @query(SEG + " " + " UNION ALL ".join(f"SELECT '{n}' AS row_type, {_FIN}, count(*) AS n FROM seg WHERE {c} GROUP BY ALL" for n, c in _COUNTS))
 def row_finality(spark, d):
-    seg, p = _aligned(spark, d)
-    out = None
-    for name, _ in _COUNTS:
-        rows = comparators.SEGMENT_ROWS[name](seg, p).select(F.lit(name).alias("row_type"), "finality")
-        out = rows if out is None else out.union(rows)
-    return out.groupBy("row_type", "finality").agg(F.count("*").alias("n"))
+    rows = _result(spark, d, *(n for n, _ in _COUNTS)).row_finalities()
+    return rows.groupBy("row_type", "finality").agg(F.count("*").alias("n"))
 
 
 @query(SEG + " " + " UNION ALL ".join(f"SELECT '{n}' AS comparator, count(*) AS row_count FROM seg WHERE {c}" for n, c in _COUNTS))
 def comparator_summary(spark, d):
-    from .operators.comparison import compare
-
-    p = plan(spark, d)
-    return compare(windows(spark, d), Plan(p.name, p.target, p.against, p.scope, p.normalization, tuple(n for n, _ in _COUNTS))).summary()
+    return _result(spark, d, *(n for n, _ in _COUNTS)).summary()
 
 
 # --- cohorts ---------------------------------------------------------------------------------------------------
 
 
 def _cohort(spark, d, name, count=None):
-    seg, p = _aligned(spark, d, (Selector.for_cohort(OTHERS, Activity(name, count)).named("others"),))
-    return comparators.residual(seg, p).select(*RANGE, ids("target_ids"), "finality")
+    return _rows(spark, d, "residual", (Selector.for_cohort(OTHERS, Activity(name, count)).named("others"),)).select(*RANGE, ids("target_ids"), "finality")
 
 
 def _cohort_sql(active: str) -> str:
@@ -508,7 +510,7 @@ def _add_cohorts():
 _add_cohorts()
 
 
-@query(SEG + """ SELECT window_name, key, range_start, range_end, 'rule=at-least:2; required=2; activeCount=' || n_s || '; isActive=' || CASE WHEN n_s >= 2 THEN 'true' ELSE 'false' END || '; activeSources=' || sources AS evidence FROM seg WHERE n_t > 0""")
+@query(SEG + """ SELECT window_name, key, range_start, range_end, 'rule=at-least:2; required=2; activeCount=' || n_s || '; isActive=' || CASE WHEN n_s >= 2 THEN 'true' ELSE 'false' END || '; activeSources=' || coalesce(sources, '') AS evidence FROM seg""")
 def cohort_evidence(spark, d):
     seg, p = _aligned(spark, d, (Selector.for_cohort(OTHERS, Activity("at-least", 2)),))
     return comparators.cohort_evidence(seg, p).select(*RANGE, "evidence")
@@ -550,13 +552,13 @@ def _halves(spark, d):
 
 def _finalities(spark, d, at):
     """Finality rows of a snapshot; identifiers are start identities, so that later rows do not renumber earlier ones."""
-    rows = history.snapshot_at(windows(spark, d), at).where(F.col("start_position") % 10 != (1 if at % 2 else 2))
+    rows = history.snapshot_at(windows(spark, d), at)
     reason = F.concat(F.lit("ends at "), F.col("range_end").cast("string"))
     return rows.select(F.lit("window").alias("row_type"), F.concat_ws("/", "key", "source", "start_position").alias("row_id"), F.lit(1).cast("long").alias("version"), "finality", reason.alias("reason"))
 
 
-_SNAP = "SELECT key || '/' || source || '/' || start_position AS row_id, CASE WHEN end_position <= {h} THEN 'Final' ELSE 'Provisional' END AS finality, 'ends at ' || CASE WHEN end_position <= {h} THEN end_position ELSE {h} END AS reason FROM w, h WHERE start_position <= {h} AND start_position % 10 <> {k}"
-_LOG = W + _FINALITIES + f""", p AS ({_SNAP.format(h='h1', k=1)}), q AS ({_SNAP.format(h='h2', k=2)}),
+_SNAP = "SELECT key || '/' || source || '/' || start_position AS row_id, CASE WHEN end_position <= {h} THEN 'Final' ELSE 'Provisional' END AS finality, 'ends at ' || CASE WHEN end_position <= {h} THEN end_position ELSE {h} END AS reason FROM w, h WHERE start_position <= {h}"
+_LOG = W + _FINALITIES + f""", p AS ({_SNAP.format(h='h1')}), q AS ({_SNAP.format(h='h2')}),
 g AS (SELECT 'window' AS row_type, coalesce(q.row_id, p.row_id) AS row_id, CASE WHEN p.row_id IS NULL THEN CAST(1 AS BIGINT) ELSE CAST(2 AS BIGINT) END AS version, CASE WHEN p.row_id IS NULL THEN q.finality WHEN q.row_id IS NULL THEN 'Retracted' ELSE 'Revised' END AS finality,
       p.row_id AS supersedes, CASE WHEN q.row_id IS NULL THEN 'the row is no longer there' ELSE q.reason END AS reason
       FROM p FULL JOIN q ON p.row_id = q.row_id WHERE p.row_id IS NULL OR q.row_id IS NULL OR p.finality <> q.finality OR p.reason <> q.reason)"""

@@ -82,3 +82,19 @@ def for_each_batch(recorded_path: str, then: Callable[[DataFrame, int], None]) -
         then(batch.sparkSession.read.option("basePath", recorded_path).parquet(recorded_path).drop("batch"), number)
 
     return run
+
+
+def emissions(opened: dict[str, Callable] | None = None, closed: dict[str, Callable] | None = None) -> Callable[[DataFrame, int], None]:
+    """A ``foreachBatch`` function that hands each window's transitions of a batch to its callback, by window name.
+
+    A callback gets the rows as a DataFrame, opened ones apart from closed ones, so what it does with them stays distributed.
+    """
+
+    def run(batch: DataFrame, number: int) -> None:
+        rows = batch.persist()
+        for kind, callbacks in (("Opened", opened or {}), ("Closed", closed or {})):
+            for name, callback in callbacks.items():
+                callback(rows.where((F.col("kind") == kind) & (F.col("window_name") == name)))
+        rows.unpersist()
+
+    return run
