@@ -31,7 +31,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import shingles, store
+from . import shingles, store, tokens
 from .components import components
 
 LIMIT, DEPTH, BLOCK = 1000, 5, 128
@@ -188,6 +188,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 fps.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
                 sigs.append(own.minima(s).tobytes() if len(s) else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps, pa.binary()), pa.array(ns, pa.int64()), pa.array(sigs, pa.binary())], names=["doc_id", "th", "fp", "n", "sig"])
+        tokens.tidy()
 
     text = store.column(text_col).cast("string")
     return docs.select(store.column(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text")).mapInArrow(run, "doc_id long, th long, fp binary, n long, sig binary")
@@ -303,6 +304,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             sets = [s.tobytes() for s in own.sets_of(batch.column(5))]
             keep = [hashlib.blake2b(s, digest_size=16).digest() == fp for s, fp in zip(sets, batch.column(4).to_pylist())]
             yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(sets, pa.binary())], names=["c", "component", "blocks", "copies", "set"]).filter(pa.array(keep))
+        tokens.tidy()
 
     text = store.column(text_col).cast("string")
     texts = docs.select(store.column(id_col).cast("long").alias("id"), F.xxhash64(text).alias("h"), text.alias("text"))

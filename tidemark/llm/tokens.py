@@ -357,7 +357,12 @@ def small_batches(batch, text_column: int, most_bytes: int = BATCH_BYTES):
 
 
 def tidy() -> None:
-    """Give back the memory that Arrow holds for later, at a task's end."""
+    """Give back, at a task's end, the memory that Arrow and the C library hold for later; workers live on."""
+    import ctypes
+
     import pyarrow as pa
 
     pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # not in every C library
+    if trim:
+        trim(0)
