@@ -194,4 +194,5 @@ def kept(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: s
             yield batch.filter(pa.array(good, pa.bool_()))
         tokens.tidy()
 
-    return docs.mapInArrow(run, docs.schema)
+    named = docs.toDF(*[f"k{i}" for i in range(len(docs.columns))])  # names with dots can't go through as they are
+    return named.mapInArrow(run, named.schema).toDF(*docs.columns)
