@@ -3,7 +3,9 @@
 import base64
 import hashlib
 import re
+import textwrap
 import zlib
+from pathlib import Path
 
 import duckdb
 import pytest
@@ -91,6 +93,34 @@ def test_licenses(spark):
     assert licenses.scanned(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
 
+def _wrapped(text, width, mark=""):
+    return "\n\n".join("\n".join(mark + line for q in p.split("\n") for line in textwrap.wrap(q, width)) for p in text.split("\n\n"))
+
+
+def test_licenses_at_any_width(spark):
+    whole = {name: texts[-1] for name, texts in licenses.KNOWN.items() if "\n\n" in texts[-1]}
+    assert {"MIT", "ISC", "BSD-2-Clause", "BSD-3-Clause", "0BSD", "Zlib"} <= set(whole)
+    own = {name: text.replace("(c) the authors", "(C) 2019-2024, Some Body <a@b.org>\nAll rights reserved.") for name, text in whole.items()}
+    texts = [(name, _wrapped(text, width, mark)) for forms in (whole, own) for name, text in forms.items() for width in range(50, 101) for mark in ("", " * ")]
+    texts += [(name, text.partition("\n\n")[2]) for name, text in whole.items()] + [("MIT", whole["MIT"].replace("(c) the authors", "2020 X"))]
+    texts += [(None, text.replace("without", "with", 1)) for text in whole.values()] + [(None, text[: len(text) // 2]) for text in whole.values()]
+    docs = spark.createDataFrame([(i, text) for i, (_, text) in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: r.license_id for r in licenses.scanned(docs).collect()}
+    assert [(i, got[i]) for i in range(len(texts))] == [(i, name) for i, (name, _) in enumerate(texts)]
+
+
+COMMON = Path("/usr/share/common-licenses")
+
+
+@pytest.mark.skipif(not COMMON.exists(), reason="the system has no licence texts")
+def test_long_licenses_by_digest(spark):
+    files = {"Apache-2.0": "Apache-2.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2.1": "LGPL-2.1", "LGPL-3": "LGPL-3.0", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0"}
+    there = {COMMON.joinpath(f).read_text(encoding="utf-8"): name for f, name in files.items() if COMMON.joinpath(f).exists()}
+    rows = [(name, form) for text, name in there.items() for form in (text, text.upper(), text.replace("\n", "\n\n  "))] + [(None, text + "\nand more") for text in there]
+    got = licenses.scanned(spark.createDataFrame(rows, "doc_id string, text string")).collect()
+    assert len(got) == len(rows) and all(r.doc_id == r.license_id for r in got)
+
+
 def test_warc_round_trip(spark):
     rows = [(1, "http://a/", "<p>é</p>"), (3, "http://b/\r\nX: y", "<p>é</p>"), (2, None, "<p>é</p>"), (4, "http://c", None), (5, "http://d", ""), (5, "http://d", ""), (None, "http://e", "only"), (6, "http://f", "x" * 3_000_000)]
     pages = spark.createDataFrame([(*r, "clash") for r in rows], "page_id long, url string, html string, sha1 string").repartition(3)
