@@ -1,5 +1,7 @@
 """Diagnostics of rows, duplicates, cohort evidence, linear comparators, and the helpers around results."""
 
+import json
+import os
 import random
 import time
 
@@ -10,9 +12,10 @@ from tests.test_comparison import HistoryBuilder
 from tidemark import Selector, comparison
 from tidemark import testing
 from tidemark.operators import align, analytics, comparators, history
-from tidemark.operators.recording import Pipeline, TypedWindow
-from tidemark.plans.comparison import Activity
+from tidemark.operators.recording import Pipeline, TypedWindow, WindowDefinition
+from tidemark.plans.comparison import Activity, catalog, is_known, lead_lag
 from tidemark.plans.extensions import Extension
+from tidemark.sources import exports
 from tidemark.streaming import recorder
 
 
@@ -135,3 +138,68 @@ def test_nearest_takes_time_in_proportion(spark):
 
     seconds(1_000)
     assert seconds(40_000) < 12 * max(seconds(5_000), 0.5)
+
+
+def _signals(beats, lanes, threshold, start, horizon, every):
+    """The state machine, one check and one beat after the other; beats of an instant come before its check."""
+    out, last, silent, known = [], dict.fromkeys(lanes, start), dict.fromkeys(lanes, False), dict.fromkeys(lanes, False)
+    for now in range(start, horizon + 1):
+        for lane, at in beats:
+            if at == now:
+                last[lane] = at
+                if silent[lane] or not known[lane]:
+                    out.append((lane, False, at, at))
+                silent[lane], known[lane] = False, True
+        for lane in lanes if (now - start) % every == 0 else ():
+            if not silent[lane] and now >= last[lane] + threshold:
+                silent[lane] = known[lane] = True
+                out.append((lane, True, last[lane] + threshold, now))
+    return sorted(out)
+
+
+def test_liveness_signals(spark):
+    rng = random.Random(4)
+    lanes = ["a", "b", "c", "never"]
+    beats = sorted({(rng.choice(lanes[:3]), rng.randint(5, 300)) for _ in range(60)} | {("a", 5)}, key=lambda x: x[1]) + [("a", 900)]
+    rows = lambda b: spark.createDataFrame(b, "lane string, at long")
+    tracked = lambda names: spark.createDataFrame([(x,) for x in names], "lane string")
+    ask = lambda b, names, *more: analytics.liveness_signals(rows(b), F.col("lane"), F.col("at"), tracked(names), *more)
+    for threshold, start, horizon, every in ((7, 5, 300, 1), (10, 3, 290, 4), (25, 5, 60, 10)):
+        got = ask(beats, lanes, threshold, start, horizon, every).collect()
+        assert sorted((r.lane, r.is_silent, r.occurred_at, r.evaluated_at) for r in got) == _signals(beats, lanes, threshold, start, horizon, every)
+    assert ask([], [], 5, 0, 10).collect() == []
+    for wrong in ((0, 0, 9), (5, 9, 3)):
+        with pytest.raises(ValueError):
+            ask(beats, lanes, *wrong)
+    for b, names, start in (([("x", 9)], ["a"], 0), ([("a", 1)], ["a"], 5), ([("a", 9)], ["a", "a"], 0)):
+        with pytest.raises(Exception, match="lane|start"):
+            ask(b, names, 5, start, 50).collect()
+
+
+def test_totals_keep_to_their_axis(spark):
+    windows = HistoryBuilder().closed("W", "k", 1, 5, "a").closed("W", "k", 3, 8, "b").build(spark)
+    result = plain(windows, "overlap", "residual", "containment").run()
+    assert (result.total_position_length("overlap"), result.total_position_length("residual")) == (2, 2)
+    for wrong in (lambda: result.total_time_duration("overlap"), lambda: result.total_position_length("containment")):
+        with pytest.raises(ValueError):
+            wrong()
+
+
+def test_lines_in_the_catalogs_order_and_export_options(spark, tmp_path):
+    windows = HistoryBuilder().closed("W", "k", 1, 5, "a").closed("W", "k", 3, 8, "b").build(spark)
+    b = plain(windows, lead_lag("Start", 5), "coverage", "overlap")
+    result = exports.run(b, exports.ExportOptions(html=f"{tmp_path}/x/c.html"))
+    assert (tmp_path / "x" / "c.html").read_text().startswith("<!doctype html>") and os.listdir(tmp_path) == ["x"]
+    types = [json.loads(r.value)["type"] for r in exports.lines(result).collect()]
+    assert list(dict.fromkeys(types)) == ["summary", "overlap", "coverage", "lead-lag"]
+    document = exports.result_document(result)
+    assert len(document["coverageSummaries"]) == result.coverage_summary().count() and len(document["leadLagSummaries"]) == 1
+    with pytest.raises(ValueError):
+        exports.ExportOptions(llm=" ")
+
+
+def test_catalog_and_recording_off(spark):
+    assert all(map(is_known, (*catalog()[:7], lead_lag("End", 3), "asof:Next:Timestamp:0"))) and not any(map(is_known, ("asof", "nonsense", "lead-lag:Up:Timestamp:1")))
+    events = spark.createDataFrame([(1, "k", True), (2, "k", False)], "pos long, key string, on boolean")
+    silent = Pipeline((WindowDefinition("W", F.col("key"), F.col("on")),), F.col("pos"), record=False)
+    assert silent.windows(events).collect() == [] and silent.transitions(events).count() == 2

@@ -95,3 +95,30 @@ def silences(beats: DataFrame, lane: Column, at: Column, threshold: int, horizon
     rows = rows.where(F.col("at") <= horizon).withColumn("next", F.lead("at").over(Window.partitionBy("lane").orderBy("at")))
     silent = F.col("at") + threshold
     return rows.where(silent <= F.coalesce(F.col("next") - 1, horizon)).select("lane", silent.alias("silent_from"), F.col("next").alias("silent_until"))
+
+
+def liveness_signals(beats: DataFrame, lane: Column, at: Column, lanes: DataFrame, threshold: int, started_at: int, horizon: int, every: int = 1) -> DataFrame:
+    """State changes of the tracked ``lanes``: lane, is_silent, occurred_at, evaluated_at, threshold.
+
+    A lane's first beat and each beat after a silence say that it is alive.  Lanes are checked at ``started_at`` and each
+    ``every`` after it, up to the horizon, after the beats of that instant: a check finds a lane silent once ``threshold``
+    has passed since its last beat (or the start), and dates the silence there.  A beat before the start, a beat of a lane
+    that is not tracked and a lane that is listed twice are errors.
+    """
+    if threshold <= 0 or every <= 0:
+        raise ValueError("threshold and interval of checks must be greater than zero")
+    if horizon < started_at:
+        raise ValueError("the horizon is earlier than the start")
+    refused = lambda text: F.raise_error(F.lit(text)).cast("long")
+    tracked = lanes.select(F.col("lane").cast("string").alias("lane")).groupBy("lane").agg(F.count("*").alias("n"))
+    start = tracked.select("lane", F.when(F.col("n") > 1, refused("a lane is listed twice")).otherwise(F.lit(started_at)).cast("long").alias("at"), F.lit(True).alias("start"))
+    seen = beats.select(lane.cast("string").alias("lane"), at.cast("long").alias("at")).where(F.col("at") <= horizon)
+    seen = seen.join(tracked, "lane", "left").select("lane", F.when(F.col("n").isNull(), refused("a lane is not tracked")).when(F.col("at") < started_at, refused("a beat is earlier than the start")).otherwise(F.col("at")).alias("at"), F.lit(False).alias("start"))
+    order = Window.partitionBy("lane").orderBy("at", F.desc("start"))
+    rows = start.union(seen).withColumn("silent_at", F.col("at") + threshold).withColumn("next", F.lead("at").over(order))
+    rows = rows.withColumn("check", F.expr(f"{started_at} + (silent_at - {started_at} + {every - 1}) div {every} * {every}"))
+    rows = rows.withColumn("silent", (F.col("check") <= horizon) & F.coalesce(F.col("check") < F.col("next"), F.lit(True)))
+    rows = rows.withColumn("alive", ~F.col("start") & F.coalesce(F.lag(F.col("silent") | F.col("start")).over(order), F.lit(False)))
+    signal = lambda when, silent, occurred, evaluated: F.when(when, F.struct(F.lit(silent).alias("is_silent"), F.col(occurred).alias("occurred_at"), F.col(evaluated).alias("evaluated_at")))
+    both = F.array_compact(F.array(signal(F.col("alive"), False, "at", "at"), signal(F.col("silent"), True, "silent_at", "check")))
+    return rows.select("lane", F.inline(both)).withColumn("threshold", F.lit(threshold).cast("long"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field, replace
+from datetime import timedelta
 from functools import cached_property
 
 from pyspark.sql import DataFrame
@@ -11,6 +12,9 @@ from pyspark.sql import functions as F
 from ..plans.comparison import Activity, Declaration, Diagnostic, Plan, Scope, Selector
 from . import align, comparators
 
+#: Comparators whose rows are ranges that add up.
+RANGED = ("overlap", "residual", "missing", "coverage", "gap", "symmetric-difference")
+
 
 @dataclass
 class Result:
@@ -67,6 +71,21 @@ class Result:
                 out = out.union(comparators.as_of_diagnostics(self.rows(d.text)))
         return out
 
+    def _total(self, declaration: str, axis: str) -> int:
+        if self.plan.normalization.axis != axis:
+            raise ValueError(f"the rows are not on the {axis} axis")
+        if declaration not in RANGED:
+            raise ValueError(f"{declaration} rows have no total length")
+        return comparators.total_length(self.rows(declaration))
+
+    def total_position_length(self, declaration: str) -> int:
+        """Positions that the rows of a comparator cover in all."""
+        return self._total(declaration, "position")
+
+    def total_time_duration(self, declaration: str) -> timedelta:
+        """The time that the rows of a comparator cover in all."""
+        return timedelta(microseconds=self._total(declaration, "time"))
+
     def coverage_summary(self) -> DataFrame:
         return comparators.coverage_summary(self.rows("coverage"))
 

@@ -132,13 +132,17 @@ class TypedWindow:
 
 @dataclass(frozen=True)
 class Pipeline:
-    """Definitions over one event table; ``position`` is a unique, increasing column of it."""
+    """Definitions over one event table; ``position`` is a unique, increasing column of it.
+
+    Without ``record`` there are transitions only, and the history of windows stays empty.
+    """
 
     definitions: tuple[WindowDefinition, ...]
     position: Column
     source: Column | None = None
     partition: Column | None = None
     event_time: Column | None = None
+    record: bool = True
 
     def __post_init__(self):
         names = [n for d in self.metadata() for n in d.names()]
@@ -180,7 +184,7 @@ class Pipeline:
             )
             rows = schema.completed(rows)
             out = rows if out is None else out.union(rows)
-        return out
+        return out if self.record else out.limit(0)
 
     def _states(self, events: DataFrame):
         """For each window and roll-up the rows where its state was observed."""

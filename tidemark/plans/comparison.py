@@ -173,6 +173,16 @@ class Declaration:
         return None
 
 
+def is_known(text: str) -> bool:
+    """Whether the catalog has this comparator, with valid settings."""
+    return Declaration.parse(text) is not None
+
+
+def catalog() -> tuple[str, ...]:
+    """The comparators by name; the last two take a mode, an axis and a tolerance."""
+    return (*BUILT_IN, "lead-lag", "asof")
+
+
 def lead_lag(transition: str, tolerance: int = 0, axis: str = "ProcessingPosition") -> str:
     return f"lead-lag:{transition}:{axis}:{tolerance}"
 

@@ -581,3 +581,16 @@ n AS (SELECT lane, p, lead(p) OVER (PARTITION BY lane ORDER BY p) AS nx FROM b)
 SELECT lane, p + 100 AS silent_from, nx AS silent_until FROM n, m WHERE p + 100 <= coalesce(nx - 1, h)""")
 def liveness_silence(spark, d):
     return analytics.silences(events(spark, d), F.concat(F.lit("k"), F.pmod(F.col("user_id"), F.lit(40))), F.col("event_id"), 100, F.lit(horizon(spark, d) - 2))
+
+
+@query("""WITH l AS (SELECT DISTINCT 'k' || (user_id % 40) AS lane FROM events), m AS (SELECT max(event_id) AS h FROM events),
+b AS (SELECT lane, CAST(0 AS BIGINT) AS p, true AS s FROM l UNION ALL SELECT 'k' || (user_id % 40), event_id, false FROM events),
+n AS (SELECT lane, p, s, p + 100 AS q, (p + 149) // 50 * 50 AS c, lead(p) OVER o AS nx, lag(s) OVER o AS fst FROM b WINDOW o AS (PARTITION BY lane ORDER BY p, s DESC)),
+g AS (SELECT n.*, c <= h AND c < coalesce(nx, c + 1) AS silent FROM n, m),
+a AS (SELECT g.*, lag(silent) OVER (PARTITION BY lane ORDER BY p, s DESC) AS after FROM g)
+SELECT lane, false AS is_silent, p AS occurred_at, p AS evaluated_at, CAST(100 AS BIGINT) AS threshold FROM a WHERE NOT s AND (fst OR after)
+UNION ALL SELECT lane, true, q, c, CAST(100 AS BIGINT) FROM a WHERE silent""")
+def liveness_signals(spark, d):
+    lane = F.concat(F.lit("k"), F.pmod(F.col("user_id"), F.lit(40)))
+    lanes = events(spark, d).select(lane.alias("lane")).distinct()
+    return analytics.liveness_signals(events(spark, d), lane, F.col("event_id"), lanes, 100, 0, horizon(spark, d) - 2, every=50)

@@ -9,12 +9,13 @@ from __future__ import annotations
 import html
 import json
 import os
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.comparison import Result
-from ..plans.comparison import Plan
+from ..operators.comparison import Builder, Result
+from ..plans.comparison import Plan, catalog
 
 MOST_ROWS = 100_000
 SCHEMA = "tidemark.comparison"
@@ -69,7 +70,8 @@ def result_document(result: Result) -> dict:
         "schema": f"{SCHEMA}.result", "schemaVersion": 0, "isValid": result.is_valid, "plan": plan_document(result.plan),
         "diagnostics": [{"code": d.code, "severity": d.severity, "message": d.message, "path": d.path} for d in result.diagnostics],
         "excluded": _collected(result.excluded) if result.plan.target is not None else [],
-        "summaries": [{"comparatorName": name, "rowCount": len(r)} for name, r in rows.items()], "rows": rows,
+        "summaries": [{"comparatorName": name, "rowCount": len(r)} for name, r in rows.items()],
+        "coverageSummaries": _collected(result.coverage_summary()) if "coverage" in rows else [], "leadLagSummaries": [r for found in result.lead_lag_summaries() for r in _collected(found)], "rows": rows,
     }
 
 
@@ -78,10 +80,10 @@ def result_json(result: Result) -> str:
 
 
 def lines(result: Result) -> DataFrame:
-    """One JSON text a row: the summary, then every row of every family."""
+    """One JSON text a row: the summary, then the families' rows in the catalog's order."""
     guard(result.plan)
     out = result.summary().select(F.to_json(F.struct(F.lit("summary").alias("type"), "*")).alias("value"))
-    for d in result.declarations:
+    for d in sorted(result.declarations, key=lambda d: catalog().index(d.name)):
         rows = result.rows(d.text)
         out = out.union(rows.select(F.to_json(F.struct(F.lit(d.name).alias("type"), *rows.columns)).alias("value")))
     return out
@@ -127,6 +129,29 @@ def llm_context(result: Result) -> str:
     return _dump({"schema": f"{SCHEMA}.context", "instructions": "Ranges are half-open. Rows are evidence; do not infer rows that are not listed.", "markdown": markdown(result), "result": result_document(result)})
 
 
+@dataclass(frozen=True)
+class ExportOptions:
+    """What a run writes besides its result: files of the driver's file system, or nothing where no path is given."""
+
+    html: str | None = None
+    llm: str | None = None
+
+    def __post_init__(self):
+        if any(path is not None and not path.strip() for path in (self.html, self.llm)):
+            raise ValueError("a path to export to is not blank")
+
+
+def run(builder: Builder, options: ExportOptions, horizon=None) -> Result:
+    """Run the comparison (live, if a horizon is given) and write what the options ask for."""
+    result = builder.run() if horizon is None else builder.run_live(horizon)
+    for path, text in ((options.html, debug_html), (options.llm, llm_context)):
+        if path is not None:
+            os.makedirs(os.path.dirname(os.path.abspath(path)), exist_ok=True)
+            with open(path, "w", encoding="utf-8") as f:
+                f.write(text(result))
+    return result
+
+
 def audit_bundle(result: Result, folder: str) -> dict:
     """comparison.json, .md, .html, .llm.json and manifest.json in a folder of the driver's file system."""
     os.makedirs(folder, exist_ok=True)
