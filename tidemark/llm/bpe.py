@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from . import store, tokens
 
 #: Fixed value: bytes that a worker's cache of words, and that of pieces, may take.
-CACHE_BYTES = 32 << 20
+CACHE_BYTES = 96 << 20
 
 
 def merged(symbols: list[int], rules: dict[tuple[int, int], tuple[int, int]]) -> list[int]:
