@@ -10,16 +10,26 @@ from pyspark.sql import functions as F
 from tidemark.llm import lcp_sort, suffix_dedup
 
 
-def brute(texts):
+def covered(texts):
+    """Each text's bytes, and a mark for each byte that a repeated string covers."""
     data = [(t or "").encode() for t in texts]
     n = suffix_dedup.LENGTH
     seen = Counter(d[i : i + n] for d in data for i in range(len(d) - n + 1))
-    out = []
     for d in data:
         gone = bytearray(len(d))
         for i in range(len(d) - n + 1):
             if seen[d[i : i + n]] > 1:
                 gone[i : i + n] = b"\1" * n
+        yield d, gone
+
+
+def kept_bytes(texts):
+    return [bytes(b for b, g in zip(d, gone) if not g) for d, gone in covered(texts)]
+
+
+def brute(texts):
+    out = []
+    for d, gone in covered(texts):
         spans = sum(1 for i in range(len(d)) if gone[i] and (i == 0 or not gone[i - 1]))
         out.append((len(d), sum(gone), spans, hashlib.sha256(bytes(b for b, g in zip(d, gone) if not g)).hexdigest()))
     return out
