@@ -189,3 +189,18 @@ def test_silences(spark):
     lanes = spark.createDataFrame([("a",), ("b",), ("c",)], "lane string")
     got = analytics.silences(beats, F.col("lane"), F.col("at"), 10, F.lit(35), lanes, F.lit(0))
     assert sorted(((r.lane, r.silent_from, r.silent_until) for r in got.collect()), key=str) == [("a", 15, 30), ("b", 10, 28), ("c", 10, None)]
+
+
+def test_numbering_in_stretches(spark, monkeypatch):
+    rng = random.Random(3)
+    rows = [("P" if i % 3 else "C", "a" if i % 2 else "b", None if i % 5 else "q", s, s + rng.randint(1, 40)) for i in range(80) for s in [rng.randint(-50, 300)]]
+    b = HistoryBuilder()
+    for name, source, partition, start, end in rows:
+        b.closed(name, "k", start, end, source, partition)
+    windows = b.build(spark)
+    text = lambda: sorted(str(r) for r in analytics.hierarchy(windows, "P", "C").collect())
+    whole = text()
+    monkeypatch.setattr(align, "STRETCH", 16)
+    assert text() == whole
+    monkeypatch.setattr(align, "numbered", lambda points, scope, spread, own=align.numbered: own(points, scope, False))
+    assert text() == whole

@@ -115,3 +115,20 @@ def test_annotations(spark):
     notes = history.annotated(notes)
     assert sorted((r.value, r.revision) for r in history.annotations_for(w, notes).collect()) == [("one", 1), ("two", 2)]
     assert [r.value for r in history.annotations_known_at(notes, 5).collect()] == ["one"]
+
+
+def test_annotate_appends(spark):
+    import datetime
+
+    w = HistoryBuilder().closed("W", "k", 1, 5).closed("W", "l", 2, 6).build(spark)
+    notes = history.annotate(w, "note", "one", F.lit(3))
+    notes = history.annotate(w.where("key = 'k'"), "note", "two", F.lit("2024-01-02"), "time", notes)
+    notes = history.annotate(w, "note", "three", existing=notes)
+    found = lambda rows: sorted((r.key, r.value, r.revision) for r in rows.collect())
+    assert found(notes) == [("k", "one", 1), ("k", "three", 3), ("k", "two", 2), ("l", "one", 1), ("l", "three", 2)]
+    assert found(history.annotations_known_at(notes, 3)) == [("k", "one", 1), ("l", "one", 1)] and found(history.annotations_known_at(notes, 2)) == []
+    assert found(history.annotations_known_at(notes, datetime.datetime(2024, 1, 3), "time")) == [("k", "two", 2)]
+    assert history.annotations_for(w, notes).count() == 5
+    for call in (lambda: history.annotate(w, "n", "v", axis="unknown"), lambda: history.annotations_known_at(notes, 1, "unknown")):
+        with pytest.raises(ValueError):
+            call()

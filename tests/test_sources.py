@@ -44,12 +44,44 @@ def test_jsonl(spark, tmp_path):
     assert rows["W"].end_position == 5 and rows["V"].end_position is None and rows["V"].segments[0].value == "x"
 
 
+@pytest.mark.parametrize(
+    ("line", "path"),
+    [("[1]", r"\$: expected"), ('{"key":"k","source":"a","startPosition":"x"}', r"\$: expected"), ('{"source":"a","startPosition":1}', r"\$\.key"), ('{"key":"k","startPosition":1}', r"\$\.source"), ('{"key":"k","source":"a"}', r"\$\.startPosition"), ('{"key":"k","source":"a","startPosition":5,"endPosition":1}', r"\$\.endPosition.*w\.jsonl")],
+)
+def test_jsonl_errors_name_path_and_file(spark, tmp_path, line, path):
+    f = tmp_path / "w.jsonl"
+    f.write_text('{"key":"k","source":"a","startPosition":1}\n' + line + "\n")
+    with pytest.raises(Exception, match=path):
+        read_jsonl(spark, str(f), "W").collect()
+    err = io.StringIO()
+    assert main(["audit-windows", str(f), "--window", "W", "--target", "a", "--against", "b", "--out", str(tmp_path / "o")], spark, io.StringIO(), err) == 2 and json.loads(err.getvalue())["error"]
+
+
+def test_jsonl_without_a_window_name(spark, tmp_path):
+    f = tmp_path / "w.jsonl"
+    f.write_text('{"key":"k","source":"a","startPosition":1}\n')
+    with pytest.raises(Exception, match="no window is named"):
+        read_jsonl(spark, str(f)).count()
+
+
+def test_explain_stages(spark):
+    b = HistoryBuilder().closed("W", "k", 1, 5, "a", segments=[("phase", "x")]).closed("W", "k", 3, 7, "b").closed("V", "k", 1, 2, "a")
+    r = comparison(b.build(spark), "x").target("t", Selector.for_source("a")).against("b", Selector.for_source("b")).within(window="W").using("overlap").run()
+    assert "- target: source = a" in exports.explain_plan(r.plan) and "## Comparators\n- overlap" in exports.explain_plan(r.plan)
+    prepared = exports.explain_prepared(r)
+    assert "OutOfScope: 1" in prepared and "- Target t: 1 windows, 0 clipped" in prepared and "- Against b: 1 windows" in prepared
+    assert "- target only: 1, length 4" in exports.explain_aligned(r) and "- against only: 1, length 4" in exports.explain_aligned(r, markdown=False)
+    page = exports.debug_html(r)
+    assert "phase=x" in page and all(f'id="{part}"' in page for part in ("timeline", "bands", "aligned", "metadata"))
+
+
 def test_exports_are_stable(spark, tmp_path):
     results = [compare(*fixture(spark, document())[:2]) for _ in range(2)]
     for f in (exports.result_json, exports.markdown, exports.debug_html, exports.llm_context):
         assert f(results[0]) == f(results[1])
     d = json.loads(exports.result_json(results[0]))
     assert d["isValid"] and d["rows"]["overlap"][0]["range_start"] == 3 and d["rows"]["overlap"][0]["rowId"] == "overlap[0]"
+    assert [x["id"] for x in json.loads(exports.llm_context(results[0]))["rowDocuments"]] == ["overlap[0]", "residual[0]", "coverage[0]", "coverage[1]"]
     assert exports.lines(results[0]).count() == 3 + 4
     manifest = exports.audit_bundle(results[0], str(tmp_path / "audit"))
     assert manifest["rowCounts"] == {"overlap": 1, "residual": 1, "coverage": 2} and (tmp_path / "audit" / "manifest.json").exists()
@@ -99,3 +131,30 @@ def test_streaming_recorder_equals_batch(spark, tmp_path):
     want = Pipeline((WindowDefinition("W", F.col("key"), F.col("on")),), F.col("pos")).windows(events)
     columns = ["window_name", "key", "start_position", "end_position"]
     assert sorted(map(str, got.select(*columns).collect())) == sorted(map(str, want.select(*columns).collect()))
+
+
+def test_streaming_recorder_with_contexts_tags_and_roll_ups(spark, tmp_path):
+    from tidemark import RollUp, Segment, Tag, all_active, any_active, schema
+    from tidemark.streaming import recorder
+
+    rows = [(i, f"k{i % 4}", i * 7 % 10 > 3, "xy"[i // 9 % 2], f"t{i % 3}", f"g{i % 2}") for i in range(80)]
+    events = spark.createDataFrame(rows, "pos long, key string, on boolean, phase string, kind string, group string")
+    for k in range(4):
+        events.where(f"pos >= {20 * k} AND pos < {20 * k + 20}").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    segments, tags = F.array(schema.segment("phase", F.col("phase"))), F.array(schema.tag("kind", F.col("kind")))
+    roll_ups = (RollUp("Any", F.col("group"), any_active), RollUp("All", F.col("group"), all_active))
+    for name, split in (("split", True), ("plain", False)):
+        out = str(tmp_path / name)
+        found = recorder.transitions(stream, "W", F.col("key"), F.col("on"), F.col("pos"), segments=segments if split else None, tags=tags, parent=F.col("group"))
+        q = found.writeStream.foreachBatch(recorder.for_each_batch(out, lambda df, n: None)).option("checkpointLocation", out + "-cp").trigger(availableNow=True).start()
+        assert q.awaitTermination(120)
+        recorded = spark.read.parquet(out).drop("batch")
+        names = ("phase",) if split else ()
+        got = recorder.windows_of(recorded)
+        for r in roll_ups:
+            got = got.union(recorder.rolled_up(recorded, r, names))
+        definition = WindowDefinition("W", F.col("key"), F.col("on"), (Segment("phase", F.col("phase")),) if split else (), (Tag("kind", F.col("kind")),), roll_ups)
+        want = Pipeline((definition,), F.col("pos")).windows(events)
+        assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))

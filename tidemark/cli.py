@@ -9,6 +9,7 @@ import argparse
 import json
 import sys
 
+from pyspark.errors import PySparkException
 from pyspark.sql import SparkSession
 
 from .operators.comparison import compare
@@ -71,7 +72,7 @@ def main(args: list[str], spark: SparkSession | None = None, out=sys.stdout, err
         else:
             print(json.dumps(exports.audit_bundle(result, a.out), indent=2), file=out)
         return 0 if result.is_valid else 1
-    except (_Usage, OSError, ValueError) as e:
+    except (_Usage, OSError, ValueError, PySparkException) as e:
         print(json.dumps({"error": type(e).__name__, "message": str(e)}), file=err)
         return 2
 

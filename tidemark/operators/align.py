@@ -85,14 +85,38 @@ def coalesced(rows: DataFrame) -> DataFrame:
     return out.withColumn("record_id", F.array_join("record_ids", "+")).select(*rows.drop("_tags", "_new", "_island").columns)
 
 
-def aligned(rows: DataFrame, scope: list[str] = SCOPE) -> DataFrame:
-    """Elementary segments of each scope with what is active: targets and againsts (sorted structs), range_start, range_end."""
+#: Width of the stretches of an axis that ``numbered`` spreads over tasks: none has more distinct points than this.
+STRETCH = 1 << 16
+
+
+def numbered(points: DataFrame, scope: list[str], spread: bool) -> DataFrame:
+    """Distinct points (scope, at) with their place ``n`` in the scope and the next point ``upto``.
+
+    With ``spread`` a scope is cut into stretches of its axis that are numbered apart; what one task sees of a whole scope
+    is one row for each stretch.
+    """
+    if not spread:
+        own = Window.partitionBy(*scope).orderBy("at")
+        return points.withColumns({"n": F.row_number().over(own), "upto": F.lead("at").over(own)})
+    points = points.withColumn("stretch", F.floor(F.col("at") / STRETCH))
+    own = Window.partitionBy(*scope).orderBy("stretch")
+    each = points.groupBy(*scope, "stretch").agg(F.count("*").alias("size"), F.min("at").alias("first"))
+    before = F.coalesce(F.sum("size").over(own.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    each = each.select(*scope, "stretch", before.alias("before"), F.lead("first").over(own).alias("next"))
+    inside = Window.partitionBy(*scope, "stretch").orderBy("at")
+    points = points.withColumns({"n": F.row_number().over(inside), "upto": F.lead("at").over(inside)}).join(each, [*scope, "stretch"])
+    return points.select(*scope, "at", (F.col("n") + F.col("before")).alias("n"), F.coalesce("upto", "next").alias("upto"))
+
+
+def aligned(rows: DataFrame, scope: list[str] = SCOPE, spread: bool = False) -> DataFrame:
+    """Elementary segments of each scope with what is active: targets and againsts (sorted structs), range_start, range_end.
+
+    ``spread`` is for few scopes with very many boundaries each: no task has to number all of a scope's.
+    """
     ranged = rows.where("range_end IS NOT NULL")
-    points = ranged.select(*scope, F.explode(F.array("range_start", "range_end")).alias("at")).distinct()
-    own = Window.partitionBy(*scope).orderBy("at")
-    points = points.withColumns({"n": F.row_number().over(own), "upto": F.lead("at").over(own)})
     safe = lambda t: [F.coalesce(F.col(c).cast("string"), F.lit("\0")).alias(f"{t}{i}") for i, c in enumerate(scope)]  # noqa: E731  null-safe equality as plain equality, for hash joins
-    p = points.select(*safe("p"), "at", "n", "upto")
+    points = ranged.select(*safe("p"), F.explode(F.array("range_start", "range_end")).alias("at")).distinct()
+    p = numbered(points, [f"p{i}" for i in range(len(scope))], spread).select(*[f"p{i}" for i in range(len(scope))], "at", "n", "upto")
     keyed = ranged.where("range_end > range_start").select("*", *safe("k"))
     on = lambda t: [F.col(f"k{i}") == F.col(f"{t}{i}") for i in range(len(scope))]
     first = p.toDF(*[f"f{i}" for i in range(len(scope))], "f_at", "f_n", "f_upto")

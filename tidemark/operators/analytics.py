@@ -43,7 +43,7 @@ def hierarchy(windows: DataFrame, parent: str, child: str) -> DataFrame:
     rows = rows.select("source", "partition", F.col("start_position").alias("range_start"), F.col("end_position").alias("range_end"), side.alias("side"), "window_name", "record_id", F.lit("").alias("selector"), F.lit(False).alias("provisional"))
     if parent == child:
         raise ValueError("parent and child are one window")
-    seg = aligned(rows.withColumn("lane", F.col("source")), ["lane", "partition"])
+    seg = aligned(rows.withColumn("lane", F.col("source")), ["lane", "partition"], spread=True)
     t, a = F.size("targets") > 0, F.size("againsts") > 0
     kind = F.when(t & a, "ParentExplained").when(t, "UnexplainedParent").otherwise("OrphanChild")
     sorted_ids = lambda c: F.sort_array(F.transform(c, lambda e: e["record_id"]))

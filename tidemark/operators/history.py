@@ -112,8 +112,35 @@ def annotated(annotations: DataFrame) -> DataFrame:
     return annotations.withColumn("revision", F.row_number().over(own))
 
 
-def annotations_known_at(annotations: DataFrame, horizon: int) -> DataFrame:
-    return annotations.where(F.col("known_at") <= horizon)
+AXES = ("position", "time")
+
+
+def annotate(windows: DataFrame, name: str, value: str | None, known_at: Column | None = None, axis: str = "position", existing: DataFrame | None = None) -> DataFrame:
+    """The ``existing`` notes and one more on each of ``windows``: START, name, value, known_at, axis, revision.
+
+    ``known_at`` is a position, or a timestamp on the axis of time (kept in microseconds); without it a note has no axis.
+    The revision is one more than the window's notes of that name before it.
+    """
+    if axis not in AXES:
+        raise ValueError(f"no axis {axis}")
+    at = F.lit(None) if known_at is None else known_at if axis == "position" else F.unix_micros(known_at.cast("timestamp"))
+    own = F.lit(None if known_at is None else axis).cast("string")
+    new = windows.select(*START, F.lit(name).alias("name"), F.lit(value).cast("string").alias("value"), at.cast("long").alias("known_at"), own.alias("axis"))
+    if existing is None:
+        return new.withColumn("revision", F.lit(1).cast("long"))
+    counts = existing.where(F.col("name") == name).groupBy(*START).agg(F.max("revision").alias("before"))
+    n, c = new.alias("n"), counts.alias("c")
+    new = n.join(c, [F.col(f"n.{k}").eqNullSafe(F.col(f"c.{k}")) for k in START], "left").select("n.*", (F.coalesce("c.before", F.lit(0)) + 1).cast("long").alias("revision"))
+    return existing.select(*new.columns).union(new)
+
+
+def annotations_known_at(annotations: DataFrame, horizon, axis: str = "position") -> DataFrame:
+    """Notes known by the horizon, on its axis; those without ``known_at`` are none.  Notes without a column ``axis`` are of positions."""
+    if axis not in AXES:
+        raise ValueError(f"no axis {axis}")
+    own = F.col("axis") if "axis" in annotations.columns else F.lit("position")
+    upto = F.lit(horizon) if axis == "position" else F.unix_micros(F.lit(horizon).cast("timestamp"))
+    return annotations.where((own == axis) & (F.col("known_at") <= upto))
 
 
 def annotations_for(windows: DataFrame, annotations: DataFrame) -> DataFrame:

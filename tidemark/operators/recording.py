@@ -130,6 +130,25 @@ class TypedWindow:
         return WindowDefinition(self.name, self.key(), self.active(), self.segments, self.tags, self.roll_ups)
 
 
+def paired(states: DataFrame) -> DataFrame:
+    """Windows from observed states: each opening with the next row that opens or closes in its history."""
+    own = Window.partitionBy("key", "source", "partition", "ctx").orderBy("pos", "sq")
+    rows = states.where("opened OR closed").withColumns({
+        "end_position": F.lead("pos").over(own), "end_time": F.lead("ts").over(own), "next_active": F.lead("opened").over(own), "next_segments": F.lead("segments").over(own),
+    }).where("opened")
+    split = F.col("next_active") & ~F.col("rolled")
+    changes = F.filter(
+        F.zip_with("segments", "next_segments", lambda a, b: F.struct(a["name"].alias("segment_name"), a["value"].alias("previous_value"), b["value"].alias("current_value"))),
+        lambda c: ~c["previous_value"].eqNullSafe(c["current_value"]),
+    )
+    rows = rows.select(
+        "window_name", "key", "source", "partition", F.col("pos").alias("start_position"), "end_position", F.col("ts").alias("start_time"), "end_time", "segments", "tags",
+        F.when(F.col("end_position").isNull(), F.lit(None)).when(split, "SegmentChanged").otherwise("ActivePredicateEnded").alias("boundary_reason"),
+        F.when(split, changes).otherwise(F.array().cast(f"array<{schema.CHANGE}>")).alias("boundary_changes"),
+    )
+    return schema.completed(rows)
+
+
 @dataclass(frozen=True)
 class Pipeline:
     """Definitions over one event table; ``position`` is a unique, increasing column of it.
@@ -168,21 +187,7 @@ class Pipeline:
         """Recorded windows in the canonical columns; open ones have no end."""
         out = None
         for states in self._states(events):
-            own = Window.partitionBy("key", "source", "partition", "ctx").orderBy("pos", "sq")
-            rows = states.where("opened OR closed").withColumns({
-                "end_position": F.lead("pos").over(own), "end_time": F.lead("ts").over(own), "next_active": F.lead("opened").over(own), "next_segments": F.lead("segments").over(own),
-            }).where("opened")
-            split = F.col("next_active") & ~F.col("rolled")
-            changes = F.filter(
-                F.zip_with("segments", "next_segments", lambda a, b: F.struct(a["name"].alias("segment_name"), a["value"].alias("previous_value"), b["value"].alias("current_value"))),
-                lambda c: ~c["previous_value"].eqNullSafe(c["current_value"]),
-            )
-            rows = rows.select(
-                "window_name", "key", "source", "partition", F.col("pos").alias("start_position"), "end_position", F.col("ts").alias("start_time"), "end_time", "segments", "tags",
-                F.when(F.col("end_position").isNull(), F.lit(None)).when(split, "SegmentChanged").otherwise("ActivePredicateEnded").alias("boundary_reason"),
-                F.when(split, changes).otherwise(F.array().cast(f"array<{schema.CHANGE}>")).alias("boundary_changes"),
-            )
-            rows = schema.completed(rows)
+            rows = paired(states)
             out = rows if out is None else out.union(rows)
         return out if self.record else out.limit(0)
 
@@ -193,7 +198,7 @@ class Pipeline:
             yield observed.select("window_name", "key", "source", "partition", F.lit("").alias("ctx"), "pos", F.lit(0).alias("sq"), "ts", "segments", "tags", "opened", "closed", "old_segments", "old_tags", F.lit(False).alias("rolled"))
             for k, r in enumerate(d.roll_ups):
                 names = [n for n, *_ in d.flat_segments()]
-                yield from self._rolled(self._children(observed), r, str(k), names)
+                yield from self._rolled(self._children(observed), r, str(k), names, True)
 
     def _observed(self, events: DataFrame, d: WindowDefinition) -> DataFrame:
         """One row for each event: activity now and before, and where a window opens or closes."""
@@ -228,10 +233,13 @@ class Pipeline:
         rows = observed.select(F.col("key").alias("child"), "source", "partition", "pos", "ts", *parents, F.when(F.col("split"), F.array(before, now)).otherwise(F.array(now)).alias("obs"))
         return rows.select("child", "source", "partition", "pos", "ts", *parents, F.inline("obs"))
 
-    def _rolled(self, children: DataFrame, r: RollUp, at: str, names: list[str]):
+    def _rolled(self, children: DataFrame, r: RollUp, at: str, names: list[str], together: bool = False):
+        """States of a roll-up and of those over it; the rows of a child may lie ``together`` in one task already."""
         names = r.projection.check(names)
         rows = children.withColumn("key", F.col(f"p{at}")).withColumn("segments", r.projection.apply(F.col("segments")))
         rows = rows.withColumn("ctx", schema.segment_key(F.col("segments")))
+        if not together:  # one shuffle serves all windows below; constants are no keys
+            rows = rows.repartition("key", *[c for c in ("source", "partition") if getattr(self, c) is not None], "ctx")
         # a split whose two contexts project to one is one observation of an active child
         same = Window.partitionBy("child", "key", "source", "partition", "pos", "ctx")
         rows = rows.withColumn("twin", F.count("*").over(same)).where("twin = 1 OR sq = 1").drop("twin")

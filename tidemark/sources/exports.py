@@ -93,6 +93,33 @@ def write_lines(result: Result, path: str) -> None:
     lines(result).write.text(path)
 
 
+def explain_plan(plan: Plan, markdown: bool = True) -> str:
+    """The plan by itself; no job is run."""
+    h, n = "## " if markdown else "", plan.normalization
+    found = plan.validate() + plan.criticise()
+    out = [f"{'# ' if markdown else ''}Plan {plan.name}", "", f"{h}Selectors", f"- target: {plan.target.description if plan.target else 'none'}", *[f"- against: {s.description}" for s in plan.against]]
+    out += ["", f"{h}Scope", *([f"- {k}: {v}" for k, v in vars(plan.scope).items() if v] if plan.scope else ["- all windows"])]
+    out += ["", f"{h}Normalization", *[f"- {k}: {v}" for k, v in vars(n).items()], "", f"{h}Comparators", *([f"- {c}" for c in plan.comparators] or ["- none"])]
+    return "\n".join([*out, "", f"{h}Diagnostics", *([f"- {d.severity} {d.code}: {d.message}" for d in found] or ["- none"]), ""])
+
+
+def explain_prepared(result: Result, markdown: bool = True) -> str:
+    """What became of the windows, and how many each selector takes; both are counted where the windows are."""
+    h = "## " if markdown else ""
+    left_out = result.excluded.groupBy("severity", "code").agg(F.count("*").alias("n")).collect()  # as many rows as codes
+    taken = result.normalized.groupBy("side", "selector").agg(F.count("*").alias("n"), F.count_if("provisional").alias("open")).collect()  # a row for each selector
+    out = [f"{'# ' if markdown else ''}Prepared {result.plan.name}", "", f"{h}Excluded", *([f"- {r.severity} {r.code}: {r.n}" for r in sorted(left_out)] or ["- none"])]
+    return "\n".join([*out, "", f"{h}Selected", *([f"- {r.side} {r.selector}: {r.n} windows, {r.open} clipped" for r in sorted(taken, key=lambda r: (r.side != 'Target', r.selector))] or ["- none"]), ""])
+
+
+def explain_aligned(result: Result, markdown: bool = True) -> str:
+    """Segments by what is active in them."""
+    h, t, a = "## " if markdown else "", F.size("targets") > 0, F.size("againsts") > 0
+    kind = F.when(t & a, "both sides").when(t, "target only").otherwise("against only")
+    found = result.segments.groupBy(kind.alias("kind")).agg(F.count("*").alias("n"), F.sum(F.col("range_end") - F.col("range_start")).alias("length")).orderBy("kind").collect()
+    return "\n".join([f"{'# ' if markdown else ''}Aligned {result.plan.name}", "", f"{h}Segments", *([f"- {r.kind}: {r.n}, length {r.length}" for r in found] or ["- none"]), ""])
+
+
 def explain(result: Result, markdown: bool = True) -> str:
     """Plan, diagnostics and row counts in stages."""
     h = "## " if markdown else ""
@@ -110,7 +137,9 @@ def markdown(result: Result) -> str:
 
 
 def debug_html(result: Result) -> str:
-    """A page of its own: summary, a timeline bar for each row with a range, diagnostics."""
+    """A page of its own: summary, a timeline bar for each row with a range, the windows' contexts as bands, aligned segments,
+    diagnostics, the plan."""
+    guard(result.plan)
     rows = families(result)
     ranged = [(name, r) for name, found in rows.items() for r in found if r.get("range_start") is not None]
     low, high = min((r["range_start"] for _, r in ranged), default=0), max((r["range_end"] for _, r in ranged), default=1)
@@ -119,14 +148,24 @@ def debug_html(result: Result) -> str:
         f'<div class="r"><span>{html.escape(name)} {html.escape(str(r.get("key", "")))}</span><i style="margin-left:{(r["range_start"] - low) * scale:.2f}%;width:{max(0.2, (r["range_end"] - r["range_start"]) * scale):.2f}%" title="[{r["range_start"]}, {r["range_end"]})"></i></div>'
         for name, r in ranged
     )
+    context = F.array_join(F.transform("segments", lambda s: F.concat(s["name"], F.lit("="), F.coalesce(s["value"], F.lit("none")))), ", ")
+    cells = lambda values: "<tr>" + "".join(f"<td>{html.escape(str(v))}</td>" for v in values) + "</tr>"
+    bands = "".join(cells(r.values()) for r in _collected(result.normalized.where("size(segments) > 0").select("key", "range_start", "range_end", "side", "source", context.alias("context"))))
+    aligned = "".join(cells(r.values()) for r in _collected(result.segments.select("key", "range_start", "range_end", F.size("targets").alias("targets"), F.size("againsts").alias("againsts"))))
     summary = "".join(f"<tr><td>{html.escape(name)}</td><td>{len(found)}</td></tr>" for name, found in rows.items())
     notes = "".join(f"<li>{html.escape(d.severity)} {html.escape(d.code)}: {html.escape(d.message)}</li>" for d in result.diagnostics)
-    return f'<!doctype html><meta charset="utf-8"><title>{html.escape(result.plan.name)}</title><style>.r{{font:12px sans-serif}}.r i{{display:block;height:8px;background:#47c}}</style><h1>{html.escape(result.plan.name)}</h1><table>{summary}</table><ul>{notes}</ul><section>{bars}</section>'
+    return f'<!doctype html><meta charset="utf-8"><title>{html.escape(result.plan.name)}</title><style>.r{{font:12px sans-serif}}.r i{{display:block;height:8px;background:#47c}}</style><h1>{html.escape(result.plan.name)}</h1><table>{summary}</table><section id="timeline">{bars}</section><h2>Contexts</h2><table id="bands">{bands}</table><h2>Aligned segments</h2><table id="aligned">{aligned}</table><h2>Diagnostics</h2><ul>{notes}</ul><h2>Plan</h2><pre id="metadata">{html.escape(_dump(plan_document(result.plan)))}</pre>'
 
 
 def llm_context(result: Result) -> str:
-    """Instructions, Markdown and the full result in one document."""
-    return _dump({"schema": f"{SCHEMA}.context", "instructions": "Ranges are half-open. Rows are evidence; do not infer rows that are not listed.", "markdown": markdown(result), "result": result_document(result)})
+    """Instructions, summary, Markdown, the full result and a document for each row."""
+    full = result_document(result)
+    text = lambda r: "; ".join(f"{k}: {v}" for k, v in r.items() if k != "rowId" and v is not None)
+    rows = [{"id": r["rowId"], "family": name, "text": text(r)} for name, found in full["rows"].items() for r in found]
+    return _dump({
+        "schema": f"{SCHEMA}.context", "instructions": "Ranges are half-open. Rows are evidence; do not infer rows that are not listed.", "summary": full["summaries"],
+        "markdown": markdown(result), "result": full, "rowDocuments": rows,
+    })
 
 
 @dataclass(frozen=True)

@@ -16,10 +16,24 @@ LINE = f"windowName string, key string, source string, partition string, startPo
 
 
 def read_jsonl(spark: SparkSession, path: str, window: str | None = None) -> DataFrame:
-    """One window a line; blank lines are skipped, a missing end is open, ``window`` names those without a name."""
-    rows = spark.read.schema(LINE).option("mode", "FAILFAST").json(path)
+    """One window a line; blank lines are skipped, a missing end is open, ``window`` names those without a name.
+
+    A line that is no window fails the job that reads it; the message names the JSON path, the file and the line's text
+    (lines of a distributed file have no number).
+    """
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}
+    rows = spark.read.text(path).where(F.trim("value") != "").select("value", F.col("_metadata.file_path").alias("file"), F.from_json("value", f"{LINE}, _bad string", options).alias("w"))
+    rows = rows.select("value", "file", "w.*").withColumn("windowName", F.coalesce("windowName", F.lit(window)))
+    wrong = [
+        (F.col("_bad").isNotNull(), "$: expected a window"), (F.coalesce(F.trim("windowName"), F.lit("")) == "", "$.windowName: missing, and no window is named"),
+        *[(F.col(c).isNull(), f"$.{c}: missing") for c in ("key", "source", "startPosition")],
+        (F.coalesce(F.col("endPosition") < F.col("startPosition"), F.lit(False)), "$.endPosition: before startPosition"),
+    ]
+    message = F.coalesce(*[F.when(condition, F.lit(text)) for condition, text in wrong])
+    failed = F.raise_error(F.concat(message, F.lit(" in "), "file", F.lit(": "), F.substring("value", 1, 200))).cast("boolean")
+    rows = rows.where(F.when(message.isNotNull(), failed).otherwise(True))
     part = lambda c, kind: F.coalesce(F.transform(c, lambda s: F.struct(s["name"].alias("name"), F.lit("string").alias("value_type"), s["value"].alias("value"), *([s["parentName"].alias("parent_name")] if kind == "segment" else []))), schema.no_segments() if kind == "segment" else schema.no_tags())
-    named = rows.select(F.coalesce("windowName", F.lit(window)).alias("window_name"), "key", "source", "partition", F.col("startPosition").alias("start_position"), F.col("endPosition").alias("end_position"), part("segments", "segment").alias("segments"), part("tags", "tag").alias("tags"))
+    named = rows.select(F.col("windowName").alias("window_name"), "key", "source", "partition", F.col("startPosition").alias("start_position"), F.col("endPosition").alias("end_position"), part("segments", "segment").alias("segments"), part("tags", "tag").alias("tags"))
     return schema.completed(named)
 
 
