@@ -113,3 +113,15 @@ def test_audit_is_not_diluted_by_copies(spark, monkeypatch):
     got, recall = nn_descent.search(spark.createDataFrame(rows, SCHEMA))
     assert sorted((r.vec_id, r.n_links, r.component_id) for r in got.collect() if r.vec_id < 100) == [(0, 1, 0), (50, 1, 0)]
     assert recall == 1.0
+
+
+def test_rounds_end_when_lists_stay(spark, monkeypatch):
+    rounds, refined = [], nn_descent._refined
+    monkeypatch.setattr(nn_descent, "_refined", lambda nodes, lists: rounds.append(1) or refined(nodes, lists))
+    vectors = list(np.random.default_rng(8).standard_normal((60, 16)))
+    rows = [(i, [float(x) for x in np.float32(v)], 0, 1, "") for i, v in enumerate(vectors + [vectors[0] * 1.0 + 0.001])]
+    got, _ = nn_descent.search(spark.createDataFrame(rows, SCHEMA))
+    assert sorted(tuple(r) for r in got.collect()) == brute(rows) and len(rounds) < nn_descent.ROUNDS
+    old = spark.createDataFrame([(1, 2, 0.99), (1, 3, 0.5)], "a long, b long, sim double")
+    new = spark.createDataFrame([(1, 2, 0.99), (2, 1, 0.99), (1, 4, 0.5)], "a long, b long, sim double")
+    assert nn_descent._changed(old, new, 0.98) == 0.5 and nn_descent._changed(old, old, 0.98) == 0.0

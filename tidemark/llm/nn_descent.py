@@ -2,7 +2,7 @@
 
 Vectors of one label, brought to unit length, get neighbour lists.  The lists start from random-hyperplane trees and are
 refined: each vector hands its neighbours, and those that have it as a neighbour, to each other; the ``K`` best of
-each list stay.  The edges at the threshold stay and join vectors into groups, each of which is compared in full in pairs of
+each list stay.  The rounds end once hardly an entry at the threshold is new, or after ``ROUNDS``.  The edges at the threshold stay and join vectors into groups, each of which is compared in full in pairs of
 blocks inside tasks; what leaves a task is each vector's number of links and a spanning forest, never all pairs.
 A list whose entries are all at the threshold is saturated, more may follow, also outside its group: groups with such
 a list are covered by balls, and every vector of the space that the triangle inequality lets link with a ball is
@@ -28,8 +28,10 @@ from . import store
 from .chosen_path import forest, groups_of
 from .components import components
 
-#: List length, trees of the first search, leaf size, rounds, block of a group, audit and recall asked for.
-K, TREES, LEAF, ROUNDS, BLOCK = 12, 8, 48, 3, 512
+#: List length, trees of the first search, leaf size, most rounds, block of a group, audit and recall asked for.
+K, TREES, LEAF, ROUNDS, BLOCK = 12, 8, 48, 8, 512
+#: The rounds end when one changes no more than this part of the entries near the threshold.
+CHANGED = 0.001
 AUDIT, RECALL, ATTEMPTS = 50, 0.999, 3
 #: The search's threshold is lower by this much, for its 32-bit floats.
 SLACK = 1e-4
@@ -174,6 +176,14 @@ def _refined(nodes: DataFrame, lists: DataFrame) -> DataFrame:
     return _best(lists.union(found))
 
 
+def _changed(before: DataFrame, after: DataFrame, least: float) -> float:
+    """The part of the entries of at least this similarity that a round brought in."""
+    close = F.col("sim") >= least
+    old = before.where(close).select("a", "b", F.lit(True).alias("old"))
+    found = after.where(close).select("a", "b").join(old, ["a", "b"], "left").agg(F.count("*").alias("n"), F.count_if(F.col("old").isNull()).alias("new")).first()
+    return found.new / max(found.n, 1)
+
+
 def _linked(threshold: float):
     """Links of the groups (key, side, c, copies, v; sorted by key): c, links, root."""
 
@@ -337,7 +347,10 @@ def search(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedd
     for attempt in range(ATTEMPTS):
         lists = store.written(spark, _planted(nodes, trees), "lists")
         for _ in range(ROUNDS):
-            lists = store.written(spark, _refined(nodes, lists), "lists")
+            refined = store.written(spark, _refined(nodes, lists), "lists")
+            changed, lists = _changed(lists, refined, threshold - SLACK), refined
+            if changed <= CHANGED:
+                break
         near = store.written(spark, components(lists.where(F.col("sim") >= threshold - SLACK).select("a", "b")), "groups")
         blocks = near.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
         own = near.join(blocks, "component").join(nodes, F.col("node") == F.col("c")).select("component", "blocks", "c", "copies", "v")
