@@ -97,3 +97,36 @@ def test_recall_holds_for_the_deepest_splits_and_shared_minima():
     runs, n = chosen_path.runs_for(0.9995, 0.8), 64
     missed = sum(math.comb(n, a) * 0.8**a * 0.2 ** (n - a) * (1 - chosen_path.survival(a / n, chosen_path.DEPTH + 1)) ** runs for a in range(n + 1))
     assert missed <= 0.0005
+
+
+def test_rows_written_do_not_grow_with_the_splits_of_a_large_group(spark, monkeypatch):
+    """Near copies that are one component already are not split again, in groups of ten and twenty times the limit."""
+    counts, written = [], chosen_path.store.written
+    monkeypatch.setattr(chosen_path.store, "written", lambda spark, df, name: counts.append((name, t := written(spark, df, name))) or t)
+    monkeypatch.setattr(chosen_path, "LIMIT", 20)
+    for near in (200, 400):
+        counts.clear()
+        rows = corpus(11, near=near)
+        assert result(spark, rows) == brute(rows)
+        first, *further = [t.count() for name, t in counts if name == "paths"]
+        assert first > 18 * near and sum(further) < 2 * first, (near, first, further)
+
+
+def test_known_sets_are_compared_with_the_others_only():
+    import numpy as np
+    import pyarrow as pa
+
+    a, b = (np.arange(64, dtype=np.uint32) + k for k in (0, 1000))
+    half = np.where(np.arange(64) < 40, a, b)
+    rows = [(7, c, s.astype(np.uint32).tobytes(), known) for c, s, known in [(1, b, False), (2, a, True), (3, a, True), (4, a, False), (5, half, False), (6, b + 5000, True)]]
+    batch = pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows)], names=["path", "c", "sig", "known"])
+    links = {(u, v) for out in chosen_path._link_buckets([batch]) for u, v in zip(*(x.to_pylist() for x in out.columns))}
+    assert links == {(4, 2), (5, 2)}  # 2, 3 and 6 are known to be one tree; 1 agrees with 24 of the minima of 5
+
+
+@pytest.mark.parametrize("depth", [1, 2])
+def test_large_buckets_at_the_last_split_lose_no_link(spark, monkeypatch, depth):
+    for name, value in {"LIMIT": 4, "DEPTH": depth, "SPREAD": 0}.items():  # no bucket ends before the last split
+        monkeypatch.setattr(chosen_path, name, value)
+    rows = corpus(13, near=60)
+    assert result(spark, rows) == brute(rows)

@@ -6,10 +6,13 @@
    hash of the node, and sets go to the bucket of their value there.  For sets of similarity J this keeps each
    expected number of shared branches at 1.25 J, so pairs of 0.8 survive a split with a bounded probability and
    less similar ones die out.  Buckets of at most ``LIMIT`` sets are compared in full.  Larger ones are compared with
-   one of their sets, the sets nearly equal to it retire, and the rest is split again; what is still large after
-   ``DEPTH`` splits is compared in pairs of blocks.  Runs are repeated until the computed recall of a pair of just the
-   threshold similarity, in large buckets to the end, is at least ``recall``; all runs sample the same 64 minima, so it
-   is averaged over how many of them agree.
+   one of their sets.  The links of all of them, over all runs, give components; in each bucket the sets of its most
+   common component, which need no comparison with each other, are compared with all others, in blocks, and the others
+   among themselves.  Where that component is less than half of the bucket, or this would write more than ``SPREAD``
+   times the bucket's rows, the sets nearly equal to the one set retire and the rest is split again, ``DEPTH`` times at
+   most; then it is compared all the same.  Runs are repeated until the computed recall of
+   a pair of just the threshold similarity, in large buckets to the end, is at least ``recall``; all runs sample the
+   same 64 minima, so it is averaged over how many of them agree.
 3. Comparing means counting agreeing minima with a margin of almost five standard deviations.  A bucket gives a
    spanning forest of what it linked, never all its pairs; connected components of the forests are candidate groups.
 4. Exact check: the whole shingle sets of each candidate group are intersected, in pairs of blocks of at most
@@ -35,6 +38,8 @@ from . import shingles, store, tokens
 from .components import components
 
 LIMIT, DEPTH, BLOCK = 1000, 5, 128
+#: Rows that comparing a large bucket's known component with its other sets may write, as a multiple of its own.
+SPREAD = 4
 #: Agreeing minima of 64 that make a candidate (at similarity 0.8: 51.2 expected, 3.2 the deviation), and that retire a set.
 CANDIDATE, RETIRE = 36, 58
 #: Classes in candidate groups (some 100 bytes each) up to which the list of them is broadcast to where the texts lie;
@@ -133,7 +138,7 @@ def groups_of(batches, key: int):
 
 
 def _link_buckets(batches):
-    """Forests of the buckets (path, c, sig sorted by path): u, v."""
+    """Forests of the buckets (path, c, sig, known; sorted by path): u, v.  The ``known`` sets of a bucket are in one tree already."""
     import numpy as np
     import pyarrow as pa
 
@@ -141,17 +146,19 @@ def _link_buckets(batches):
     for rows in groups_of(batches, 0):
         if len(rows) < 2:
             continue
-        rows.sort(key=lambda r: r[1])  # a tree's root is its smallest class, in every bucket and run
+        rows.sort(key=lambda r: (not r[3], r[1]))  # a tree's root is its smallest class, in every bucket and run; the known tree comes first
         sig = np.frombuffer(b"".join([r[2] for r in rows]), dtype=np.uint32).reshape(len(rows), -1)
+        known = sum(r[3] for r in rows)
         root = np.arange(len(rows))
-        for i in range(1, len(rows)):
+        root[:known] = 0
+        for i in range(max(1, known), len(rows)):
             trees = np.unique(root[:i][(sig[:i] == sig[i]).sum(axis=1) >= CANDIDATE])
             if len(trees):
                 root[i] = trees[0]
             if len(trees) > 1:
                 root[:i][np.isin(root[:i], trees)] = trees[0]
         for i, r in enumerate(root.tolist()):
-            if r != i:
+            if r != i and i >= known:
                 us.append(rows[i][1])
                 vs.append(rows[r][1])
         if len(us) > 50_000:
@@ -217,23 +224,56 @@ def candidate_edges(classes: DataFrame, runs: int) -> DataFrame:
     def linked(rows: DataFrame) -> DataFrame:
         return rows.repartition("path").sortWithinPartitions("path").mapInArrow(_link_buckets, "u long, v long")
 
-    paths = store.written(spark, classes.mapInArrow(roots, "path long, c long"), "paths")
+    def shapes(placed: DataFrame) -> DataFrame:
+        """Per large bucket: its most common component, the blocks of its sets and of the others, and whether comparing them ends it."""
+        parts = placed.groupBy("path", "component").agg(F.count("*").alias("n")).groupBy("path")
+        parts = parts.agg(F.max(F.struct("n", "component")).alias("most"), F.sum("n").alias("size"))
+        ins, out = F.col("most.n"), F.col("size") - F.col("most.n")
+        parts = parts.withColumn("ins", F.ceil(ins / LIMIT)).withColumn("outs", F.ceil(out / LIMIT))
+        written = ins * F.col("outs") + out * (F.col("ins") + F.col("outs") - 1)
+        return parts.select("path", F.col("most.component").alias("common"), "ins", "outs", ((ins >= out) & (written <= SPREAD * F.col("size"))).alias("ends"))
+
+    def crossed(placed: DataFrame) -> DataFrame:
+        """The sets of a bucket's common component, in blocks, with each block of the others; these with each other too."""
+        known = F.col("component") == F.col("common")
+        own = placed.where("outs > 0").withColumn("known", known).withColumn("i", F.pmod(F.xxhash64("c", "path"), F.when(known, F.col("ins")).otherwise(F.col("outs"))))
+        to = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
+        with_others = F.transform(to("outs"), lambda j: F.xxhash64("path", F.lit(0), "i", j))
+        with_known = F.transform(to("ins"), lambda j: F.xxhash64("path", F.lit(0), j, "i"))
+        among = F.transform(F.filter(to("outs"), lambda j: j != F.col("i")), lambda j: F.xxhash64("path", F.lit(1), F.least("i", j), F.greatest("i", j)))
+        return own.select(F.explode(F.when(F.col("known"), with_others).otherwise(F.concat(with_known, among))).alias("path"), "c", "sig", "known")
+
+    def merged(stars: DataFrame, new: DataFrame) -> DataFrame:
+        """Components (u, v: the smallest set) of ``stars``, which are components, and the links ``new``."""
+        ends = new.join(stars.toDF("u", "a"), "u", "left").join(stars.toDF("v", "b"), "v", "left")
+        ends = ends.select(F.coalesce("a", "u").alias("u"), F.coalesce("b", "v").alias("v")).where("u <> v").distinct()
+        ends = store.written(spark, ends, "merges")
+        return store.written(spark, components(stars.union(ends)).toDF("u", "v"), "stars") if ends.take(1) else stars
+
+    paths, stars = store.written(spark, classes.mapInArrow(roots, "path long, c long"), "paths"), classes.select(F.col("c").alias("u"), F.col("c").alias("v")).where("false")
     for depth in range(DEPTH + 1):
         small, large = buckets(paths)
-        near.append(linked(small))
+        near.append(linked(small.withColumn("known", F.lit(False))))
         if not large.take(1):
             break
-        if depth == DEPTH:  # pairs of blocks of about LIMIT sets
-            blocks = F.ceil(F.col("size") / LIMIT)
-            own = large.withColumn("i", F.pmod(F.xxhash64("c", "path"), blocks)).withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
-            near.append(linked(own.select(F.xxhash64("path", F.least("i", "j"), F.greatest("i", "j")).alias("path"), "c", "sig")))
-            break
         leaders = large.groupBy("path").agg(F.min_by(F.struct("c", "sig"), F.xxhash64("c")).alias("l"))
         leaders = store.written(spark, leaders.select("path", F.col("l.c").alias("leader"), F.col("l.sig").alias("lead_sig")), "leaders")
         seen = large.join(leaders, "path").select("path", "c", "sig", "leader", "lead_sig").mapInArrow(_compare, "path long, c long, sig binary, leader long, agree int")
         seen = store.written(spark, seen, "compared")
-        near.append(seen.where((F.col("agree") >= CANDIDATE) & (F.col("c") != F.col("leader"))).select(F.col("c").alias("u"), F.col("leader").alias("v")))
-        paths = store.written(spark, seen.where(F.col("agree") < RETIRE).mapInArrow(further, "path long, c long"), "paths")
+        new = seen.where((F.col("agree") >= CANDIDATE) & (F.col("c") != F.col("leader"))).select(F.col("c").alias("u"), F.col("leader").alias("v"))
+        stars = merged(stars, new)
+        placed = seen.join(stars.withColumnRenamed("u", "c"), "c", "left").select("path", "c", "sig", "agree", F.coalesce("v", "c").alias("component"))
+        placed = store.written(spark, placed, "placed")
+        shape = store.written(spark, shapes(placed), "shapes")
+        placed = placed.join(shape, "path")
+        if depth == DEPTH:
+            near.append(linked(crossed(placed)))
+            break
+        if shape.where("ends").take(1):
+            near.append(linked(crossed(placed.where("ends"))))
+        further_on = placed.where(~F.col("ends") & (F.col("agree") < RETIRE)).select("path", "c", "sig")
+        paths = store.written(spark, further_on.mapInArrow(further, "path long, c long"), "paths")
+    near.append(stars)
     edges = near[0]
     for e in near[1:]:
         edges = edges.union(e)
